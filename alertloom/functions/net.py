@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import ipaddress
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -30,39 +30,46 @@ def ipv4_number(address: Column) -> Column:
     return F.when(address.rlike(rf"^{_DOTTED_QUAD}\z"), number)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _groups(part: Column) -> Column:
     return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
 
 
 def ipv6_hex(address: Column) -> Column:
     """IPv6 text as 32 hex digits; NULL if it is not one. A ``%scope`` is dropped."""
-    scope = F.split(address, "%", -1)
-    scope_ok = (F.size(scope) == 1) | ((F.size(scope) == 2) & (scope[1] != ""))
-    bare = F.lower(scope[0])
-    tail = F.regexp_extract(bare, rf":({_DOTTED_QUAD})\z", 1)
-    tail_hex = F.lower(F.lpad(F.hex(ipv4_number(tail)), 8, "0"))
-    plain = F.when(
-        tail != "",
-        F.concat(
-            F.substr(bare, F.lit(1), F.length(bare) - F.length(tail)),
-            F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4),
-        ),
-    ).otherwise(bare)
+    readable = F.contains(address, F.lit(":")) & address.rlike(r"^[0-9A-Fa-f:.]+(?:%[^%]+)?\z")
+    bare = F.lower(F.split(address, "%")[0])
+    return F.when(readable, let(_without_dotted_tail(bare), _hex_of_groups))
+
+
+def _without_dotted_tail(bare: Column) -> Column:
+    """Write a trailing dotted quad as two hex groups."""
+    tail = F.substring_index(bare, ":", -1)
+    quad = F.lower(F.lpad(F.hex(ipv4_number(tail)), 8, "0"))
+    head = F.substr(bare, F.lit(1), F.length(bare) - F.length(tail))
+    spelled = F.concat(head, F.substring(quad, 1, 4), F.lit(":"), F.substring(quad, 5, 4))
+    return F.when(F.contains(tail, F.lit(".")), spelled).otherwise(bare)
+
+
+def _hex_of_groups(plain: Column) -> Column:
     halves = F.split(plain, "::", -1)
-    left, right = _groups(halves[0]), _groups(F.try_element_at(halves, F.lit(2)))
-    padding = lambda array: F.transform(array, lambda g: F.lpad(g, 4, "0"))
-    known = F.size(left) + F.size(right)
-    compressed = F.concat(
-        F.array_join(padding(left), ""), F.repeat(F.lit("0000"), 8 - known), F.array_join(padding(right), "")
-    )
-    whole = F.array_join(padding(left), "")
-    groups_ok = lambda array: F.forall(array, lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
-    return F.when(
-        scope_ok & F.contains(address, F.lit(":")),
-        F.when((F.size(halves) == 1) & (F.size(left) == 8) & groups_ok(left), whole).when(
-            (F.size(halves) == 2) & (known <= 7) & groups_ok(left) & groups_ok(right), compressed
-        ),
-    )
+    sides = F.transform(halves, _groups)
+    return F.when(F.size(halves) <= 2, let(sides, _join_sides))
+
+
+def _join_sides(sides: Column) -> Column:
+    known = F.aggregate(sides, F.lit(0), lambda n, side: n + F.size(side))
+    well_formed = F.forall(F.flatten(sides), lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
+    whole = (F.size(sides) == 1) & (known == 8)
+    compressed = (F.size(sides) == 2) & (known <= 7)
+    texts = F.transform(sides, lambda side: F.array_join(F.transform(side, lambda g: F.lpad(g, 4, "0")), ""))
+    zeros = F.repeat(F.lit("0000"), 8 - known)
+    digits = F.when(whole, texts[0]).otherwise(F.concat(texts[0], zeros, F.get(texts, F.lit(1))))
+    return F.when(well_formed & (whole | compressed), digits)
 
 
 def _ipv4_in(number: Column, networks: Iterable[str]) -> Column:
@@ -98,20 +105,19 @@ def is_global(address: Column, own_network: str | None = None) -> Column:
     address is judged by its IPv4 part; text that is no address is not global.
     """
     number = ipv4_number(address)
-    outside = F.lit(True)
-    if own_network:
-        outside = ~_ipv4_in(number, [own_network])
-    digits = ipv6_hex(address)
-    mapped = F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint")
-    ipv6_global = F.when(
-        F.startswith(digits, F.lit("0" * 20 + "ffff")), ~_ipv4_private(mapped)
-    ).otherwise(~_ipv6_in(digits, fixed.IPV6_NOT_GLOBAL) | _ipv6_in(digits, fixed.IPV6_GLOBAL_EXCEPTIONS))
-    answer = F.when(F.contains(address, F.lit(":")), ipv6_global).otherwise(
-        outside & ~_ipv4_private(number) & ~_ipv4_in(number, [fixed.IPV4_SHARED])
+    outside = lambda n: ~_ipv4_in(n, [own_network] if own_network else [])
+    answer = F.when(F.contains(address, F.lit(":")), let(ipv6_hex(address), _ipv6_global)).otherwise(
+        let(number, lambda n: outside(n) & ~_ipv4_private(n) & ~_ipv4_in(n, [fixed.IPV4_SHARED]))
     )
     return F.coalesce(answer, F.lit(False))
 
 
+def _ipv6_global(digits: Column) -> Column:
+    mapped = F.conv(F.substring(digits, 25, 8), 16, 10).cast("bigint")
+    special = _ipv6_in(digits, fixed.IPV6_NOT_GLOBAL) & ~_ipv6_in(digits, fixed.IPV6_GLOBAL_EXCEPTIONS)
+    return F.when(F.startswith(digits, F.lit("0" * 20 + "ffff")), ~let(mapped, _ipv4_private)).otherwise(~special)
+
+
 def valid_networks(networks: Iterable[str]) -> tuple[list[str], bool]:
     """The networks before the first unreadable one, and whether there was one."""
     readable: list[str] = []
@@ -128,6 +134,6 @@ def in_networks(address: Column, networks: Iterable[str]) -> Column:
     """Membership of an address in a list of IPv4 and IPv6 networks; never NULL."""
     networks = list(networks)
     answer = F.when(
-        F.contains(address, F.lit(":")), _ipv6_in(ipv6_hex(address), networks)
-    ).otherwise(_ipv4_in(ipv4_number(address), networks))
+        F.contains(address, F.lit(":")), let(ipv6_hex(address), lambda d: _ipv6_in(d, networks))
+    ).otherwise(let(ipv4_number(address), lambda n: _ipv4_in(n, networks)))
     return F.coalesce(answer, F.lit(False))

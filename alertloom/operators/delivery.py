@@ -78,6 +78,22 @@ def ack_line(
     )
 
 
+def ack_body(origin: Column, event_format: Column, integration: str = fixed.ACK_INTEGRATION) -> Column:
+    """JSON text of an acknowledgement from the identity of its alert."""
+    detail = jt.object_text(
+        event_format=jt.quoted(event_format),
+        event_id=jt.quoted(origin["event_id"]),
+        win_timestamp=jt.quoted(origin["win_timestamp"]),
+        wz_timestamp=jt.quoted(origin["alert_timestamp"]),
+    )
+    return jt.object_text(
+        integration=jt.quoted(F.lit(integration)),
+        alert_id=jt.quoted(origin["alert_id"]),
+        agent_name=jt.quoted(origin["agent_name_printed"]),
+        **{fixed.ACK_DETAIL_FIELD: detail},
+    )
+
+
 def acknowledgements(
     messages: DataFrame, integration: str = fixed.ACK_INTEGRATION, keep: list[str] | None = None
 ) -> DataFrame:
@@ -89,25 +105,14 @@ def acknowledgements(
     known = messages.where(
         F.col("origin.agent_kind").isNull() | F.startswith("origin.agent_kind", F.lit("OBJECT"))
     )
-    detail = jt.object_text(
-        event_format=jt.quoted(F.col("message.event_format")),
-        event_id=jt.quoted(o["event_id"]),
-        win_timestamp=jt.quoted(o["win_timestamp"]),
-        wz_timestamp=jt.quoted(o["alert_timestamp"]),
-    )
-    body = jt.object_text(
-        integration=jt.quoted(F.lit(integration)),
-        alert_id=jt.quoted(o["alert_id"]),
-        agent_name=jt.quoted(o["agent_name_printed"]),
-        **{fixed.ACK_DETAIL_FIELD: detail},
-    )
+    body = ack_body(o, F.col("message.event_format"), integration)
     rows = known.select(
         *(keep or []),
         F.lit(integration).alias("integration"),
         o["alert_id"].alias("alert_id"),
         o["agent_name_printed"].alias("agent_name"),
         F.col("message.event_format").alias("event_format"),
-        o["event_id"].alias("event_id"),
+        o["event_id"].alias("alert_event_id"),
         o["win_timestamp"].alias("win_timestamp"),
         o["alert_timestamp"].alias("alert_timestamp"),
         ack_line(body, o["agent_id"], o["agent_name"], o["agent_ip"], integration).alias("line"),

@@ -11,6 +11,8 @@ from alertloom.operators import syslog, windows
 
 WINDOWS = "windows"
 FAIL2BAN = "fail2ban"
+QUARANTINE = "quarantine"
+REPAIRED = "replaced"
 
 
 def with_relevance(alerts: DataFrame) -> DataFrame:
@@ -24,16 +26,21 @@ def with_relevance(alerts: DataFrame) -> DataFrame:
     return marked.withColumn("is_relevant", F.col("is_windows") | F.col("is_fail2ban"))
 
 
-def branches(alerts: DataFrame) -> DataFrame:
-    """One row per alert and branch that wants it: column ``branch``.
+def branches(rows: DataFrame) -> DataFrame:
+    """One row per input row and branch that wants it: column ``branch``.
 
     An alert that both branches want gives two rows; the input is read once.
+    Rows of ``strict_parse`` that failed, or were repaired, also go to the
+    quarantine branch.
     """
-    wanted = F.array(
-        F.when(windows.is_relevant(F.col("alert")), F.lit(WINDOWS)),
-        F.when(syslog.is_relevant(F.col("alert")), F.lit(FAIL2BAN)),
-    )
-    return alerts.select("*", F.explode(wanted).alias("branch")).where(F.col("branch").isNotNull())
+    alert = F.col("alert")
+    wanted = [
+        F.when(windows.is_relevant(alert), F.lit(WINDOWS)),
+        F.when(syslog.is_relevant(alert), F.lit(FAIL2BAN)),
+    ]
+    if "reason" in rows.columns:
+        wanted.append(F.when(F.col("reason").isNotNull() | F.col("replaced"), F.lit(QUARANTINE)))
+    return rows.select("*", F.explode(F.array(*wanted)).alias("branch")).where(F.col("branch").isNotNull())
 
 
 def _origin(alert: Column) -> Column:
@@ -97,25 +104,32 @@ def _message(
 def outcomes(alerts: DataFrame, own_network: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """One row per alert and branch: the message, or the reason why there is none.
 
-    Input needs ``alert`` (VARIANT) and ``text``.  Output: the ``keep`` columns,
+    Input needs ``alert`` (VARIANT) and ``text``; with the ``reason`` of
+    ``strict_parse`` its quarantined rows come out too, as branch ``quarantine``.
+    Output: the ``keep`` columns,
     ``branch``, ``origin``, ``message``, ``drop_reason`` and ``incident`` (text of
     an error to report although the message is sent).
     """
     keep = keep or []
     alert, is_windows = F.col("alert"), F.col("branch") == WINDOWS
+    is_syslog = F.col("branch") == FAIL2BAN
+    failure = F.col("reason") if "reason" in alerts.columns else F.lit(None).cast("string")
     base = branches(alerts).select(
         *keep,
         "branch",
+        failure.alias("failure"),
         _origin(alert).alias("origin"),
         F.when(is_windows, windows.fields(alert)).alias("w"),
-        F.when(~is_windows, syslog.fields(alert)).alias("s"),
+        F.when(is_syslog, syslog.fields(alert)).alias("s"),
         F.when(is_windows, windows.data_text(F.col("text"))).alias("data"),
     )
     lifted = base.withColumn("ordered", F.from_json("data", windows.DATA_SCHEMA))
     w, s = F.col("w"), F.col("s")
     eventdata, cleared = F.col("ordered.win.eventdata"), F.col("ordered.win.logFileCleared")
-    reason = F.when(is_windows, windows.drop_reason(w, eventdata, cleared)).otherwise(
-        syslog.drop_reason(s, own_network)
+    reason = (
+        F.when(is_windows, windows.drop_reason(w, eventdata, cleared))
+        .when(is_syslog, syslog.drop_reason(s, own_network))
+        .otherwise(F.coalesce("failure", F.lit(REPAIRED)))
     )
     decided = lifted.select("*", jt.once(drop_reason=reason))
     sent = F.col("drop_reason").isNull()

@@ -197,16 +197,18 @@ def overall_status(components: DataFrame, keys: list[str]) -> DataFrame:
         (sound / (F.count_if(F.col("kind").isin(*KINDS)) + 1) * 100).alias("_score"),
     )
     score = F.col("_score")
-    verdict = (
-        F.when(F.col("_system_critical") > 0, F.struct(F.lit(CRITICAL), F.lit(0.0)))
-        .when(F.col("_services_critical") > 0, F.struct(F.lit(CRITICAL), F.lit(10.0)))
-        .when(F.col("_queues_critical") > 0, F.struct(F.lit(CRITICAL), F.lit(20.0)))
-        .when(F.col("_degraded") > 0, F.struct(F.lit(DEGRADED), F.greatest(score, F.lit(30.0))))
-        .when(F.col("_mostly_stalled"), F.struct(F.lit(DEGRADED), F.greatest(score, F.lit(40.0))))
-        .otherwise(F.struct(F.lit(HEALTHY), score))
+    cases = (
+        (F.col("_system_critical") > 0, CRITICAL, F.lit(0.0)),
+        (F.col("_services_critical") > 0, CRITICAL, F.lit(10.0)),
+        (F.col("_queues_critical") > 0, CRITICAL, F.lit(20.0)),
+        (F.col("_degraded") > 0, DEGRADED, F.greatest(score, F.lit(30.0))),
+        (F.col("_mostly_stalled"), DEGRADED, F.greatest(score, F.lit(40.0))),
+        (F.lit(True), HEALTHY, score),
     )
-    return rows.withColumn("_verdict", verdict).select(
-        *keys, F.col("_verdict.col1").alias("overall_status"), F.col("_verdict.col2").alias("health_score")
+    return rows.select(
+        *keys,
+        F.coalesce(*[F.when(test, F.lit(status)) for test, status, _ in cases]).alias("overall_status"),
+        F.coalesce(*[F.when(test, value) for test, _, value in cases]).alias("health_score"),
     )
 
 

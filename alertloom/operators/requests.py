@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.functions.times import micros
 from alertloom import fixed_values as fixed
 from alertloom.functions import net
 from alertloom.operators import series
@@ -78,21 +79,25 @@ def allowed_by_table(requests: DataFrame, networks: DataFrame, address: str) ->
 # accepted within the window before it.  Only accepted ones count, so the
 # decision depends on earlier decisions.  But a request with at most `limit`
 # requests of any kind in its window is accepted whatever happened before.  Only
-# requests near a busier one need the ordered fold; they form separate episodes,
-# and all others are decided by window expressions.
+# requests within a window of a busier ("saturated") one enter the ordered fold;
+# they form separate episodes.  A request with no saturated one in its own window
+# has only accepted requests there and is decided by window expressions.
 
 DECISION_SCHEMA = "accepted boolean, used bigint, oldest_us bigint"
 _CHUNK_WINDOWS = 32
 
 
 def _near_saturation(requests: DataFrame, client: str, limit: int, window_us: int) -> DataFrame:
-    """Adds ``_us``, ``_busy`` (needs the fold), ``_starts`` (opens an episode), ``_used``, ``_oldest``.
+    """Mark what the fold must see.
+
+    Adds ``_us``, ``_busy`` (enters the fold), ``_starts`` (opens an episode),
+    ``_open`` (decided by the fold), and ``_used`` and ``_oldest`` for the others.
 
     Rows are compared inside time chunks that also hold the rows of three
     windows before and one window after, so a hot client is spread over tasks.
     """
     width = _CHUNK_WINDOWS * window_us
-    us = F.unix_micros("request_ts")
+    us = micros("request_ts")
     home = F.floor(us / F.lit(width))
     first = F.floor((us - window_us) / F.lit(width))
     last = F.floor((us + 3 * window_us) / F.lit(width))
@@ -106,6 +111,7 @@ def _near_saturation(requests: DataFrame, client: str, limit: int, window_us: in
     rows = rows.withColumn("_saturated", F.count(F.lit(1)).over(in_window) > limit)
     around = by_time.rangeBetween(-window_us, window_us)
     rows = rows.withColumn("_busy", F.max("_saturated").over(around))
+    rows = rows.withColumn("_open", F.max("_saturated").over(in_window))
     before = F.lag(F.struct("_us", "_busy")).over(by_row)
     detached = before.isNull() | ~before["_busy"] | (F.col("_us") - before["_us"] >= window_us)
     rows = rows.withColumn("_starts", F.col("_busy") & detached)
@@ -157,10 +163,10 @@ def rate_limit(
         )
     window_us = window_seconds * 1_000_000
     rows = _near_saturation(requests, client, limit, window_us)
-    calm = rows.where(~F.col("_busy")).select(
+    calm = rows.where(~F.col("_open")).select(
         *columns, F.lit(True).alias("accepted"), F.col("_used").alias("used"), F.col("_oldest").alias("oldest_us")
     )
-    busy = rows.where("_busy").select(*columns, "_us", "_starts").withColumn("ts", F.col("request_ts"))
+    busy = rows.where("_busy").select(*columns, "_us", "_starts", "_open").withColumn("ts", F.col("request_ts"))
     start = F.when(F.col("_starts"), F.col("request_id"))
     busy = series.carry_forward(
         busy, [client], ["ts", "request_id"], start, "_episode", _CHUNK_WINDOWS * window_seconds
@@ -168,7 +174,7 @@ def rate_limit(
     ordered = busy.repartition(client, "_episode").sortWithinPartitions(client, "_episode", "_us", "request_id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
     decided = ordered.mapInPandas(_fold(client, limit, window_us), f"{schema}, {DECISION_SCHEMA}")
-    every = calm.unionByName(decided.select(*calm.columns))
+    every = calm.unionByName(decided.where("_open").select(*calm.columns))
     return every.select(
         *columns,
         "accepted",

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.functions.times import micros
 from alertloom.operators import ranking
 from alertloom.operators.telemetry import fill_pct
 
@@ -19,7 +20,7 @@ CHUNK_SECONDS = 3600
 
 
 def _chunked(df: DataFrame, seconds: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.unix_micros("ts") / F.lit(seconds * 1_000_000)))
+    return df.withColumn("_chunk", F.floor(micros("ts") / F.lit(seconds * 1_000_000)))
 
 
 def _inside(keys: list[str], order: list[str]) -> Window:
@@ -193,7 +194,7 @@ def high_throughput_mode(
 
 def stalled_workers(activity: DataFrame, keys: list[str], as_of_time: Column, limit_seconds: float = 60.0) -> DataFrame:
     """Seconds since the last activity per worker, and whether that is too long."""
-    idle = (F.unix_micros(as_of_time) - F.unix_micros("last_ts")) / F.lit(1e6)
+    idle = (micros(as_of_time) - micros("last_ts")) / F.lit(1e6)
     return (
         activity.groupBy(*keys)
         .agg(F.max("ts").alias("last_ts"))
@@ -231,7 +232,7 @@ def retained_history(
 
     Input has one row per worker: ``ts`` and a unique ``seq``.
     """
-    age = F.unix_micros(as_of_time) - F.unix_micros("ts")
+    age = micros(as_of_time) - micros("ts")
     young = rows.where(age <= seconds * 1_000_000)
     return ranking.newest(young, ["ts", "seq"], entries, host_keys or [])
 

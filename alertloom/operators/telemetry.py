@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.functions.times import micros
 from alertloom.operators import ranking
 
 SECOND = 1_000_000
@@ -37,7 +38,7 @@ def worker_performance(
     second of ``elapsed_seconds``, or of the time between the first and last row.
     """
     us, at = F.col("elapsed_us"), F.struct("ts", "seq")
-    span = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / F.lit(float(SECOND))
+    span = (micros(F.max("ts")) - micros(F.min("ts"))) / F.lit(float(SECOND))
     period = F.lit(float(elapsed_seconds)) if elapsed_seconds else span
     n = F.count(F.lit(1))
     return processed.groupBy(*keys).agg(
@@ -75,7 +76,7 @@ def sink_intervals(
     """
     us = F.col("elapsed_us")
     is_slow = us > slow * SECOND
-    first_longest = F.struct(us, -F.unix_micros("ts"), -F.col("seq"))
+    first_longest = F.struct(us, -micros("ts"), -F.col("seq"))
     rows = operations.groupBy(*keys, F.window("ts", interval).alias("span")).agg(
         F.count(F.lit(1)).alias("operations"),
         F.count_if(is_slow).alias("slow_operations"),
@@ -112,6 +113,10 @@ def sink_cumulative(intervals: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("slow_pct", F.col("total_slow") / F.col("total_operations") * 100)
 
 
+def _by_rank(a: Column, b: Column) -> Column:
+    return F.when(a["_rank"] < b["_rank"], -1).otherwise(1)
+
+
 def slow_sink_intervals(
     operations: DataFrame, keys: list[str], interval: str = INTERVAL, slow: float = 1.0, examples: int = 5
 ) -> DataFrame:
@@ -125,7 +130,7 @@ def slow_sink_intervals(
     rows = operations.withColumn("interval_start", F.window("ts", interval)["start"])
     group = [*keys, "interval_start"]
     at = F.struct("ts", "seq")
-    first_longest = F.struct(us, -F.unix_micros("ts"), -F.col("seq"))
+    first_longest = F.struct(us, -micros("ts"), -F.col("seq"))
     stats = rows.groupBy(*group).agg(
         F.count(F.lit(1)).alias("total_operations"),
         F.count_if(is_slow).alias("slow_operations"),
@@ -141,7 +146,7 @@ def slow_sink_intervals(
         .withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= examples)
         .groupBy(*group)
-        .agg(F.array_sort(F.collect_list(F.struct("_rank", "stages"))).alias("_examples"))
+        .agg(F.array_sort(F.collect_list(F.struct("_rank", "stages")), _by_rank).alias("_examples"))
         .select(*group, F.col("_examples.stages").alias("recent_stages"))
     )
     no_example = F.array().cast("array<map<string,bigint>>")

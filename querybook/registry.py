@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from alertloom.session import configure
-from querybook import alerts, alerts_expected
+from querybook import alerts, alerts_expected, telemetry, telemetry_expected
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +17,8 @@ def _configured(query: Query) -> Query:
 
 
 def registered() -> dict[str, Query]:
-    return {q.__name__: _configured(q) for q in alerts.QUERIES}
+    return {q.__name__: _configured(q) for q in [*alerts.QUERIES, *telemetry.QUERIES]}
 
 
 def expected_sql() -> dict[str, str]:
-    return dict(alerts_expected.EXPECTED)
+    return alerts_expected.EXPECTED | telemetry_expected.EXPECTED

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertloom.functions import net
+
 # (metric, type, help text, kind of component, value field); order of the output.
 METRICS = (
     ("health_score", "gauge", "Overall health score", "snapshot", "health_score"),
@@ -34,27 +36,29 @@ STATUS_NUMBERS = {"HEALTHY": "0", "DEGRADED": "1", "CRITICAL": "2"}
 
 
 def number_text(value: Column) -> Column:
-    """A double as Python prints it: ``1e-05`` and ``1e+16`` style outside 1e-4 .. 1e16."""
-    text = value.cast("string")
-    mantissa = F.regexp_replace(F.split(text, "E")[0], r"\.0\z", "")
-    exponent = F.try_element_at(F.split(text, "E"), F.lit(2)).cast("int")
-    size = F.abs(value)
-    sign = F.when(exponent < 0, "-").otherwise("+")
-    scientific = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    digits = F.regexp_replace(F.replace(mantissa, F.lit("-"), F.lit("")), r"\.", "")
-    minus = F.when(value < 0, "-").otherwise("")
-    small = F.concat(minus, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    whole = F.concat(minus, F.rpad(digits, exponent + 1, "0"), F.lit(".0"))
-    split_at = F.concat(
-        minus, F.substr(digits, F.lit(1), exponent + 1), F.lit("."), F.substr(digits, exponent + 2, F.lit(40))
-    )
-    return (
-        F.when(exponent.isNull(), text)
-        .when((size >= 1e16) | (size < 1e-4), scientific)
-        .when(exponent < 0, small)
+    """A double as Python prints it: shortest digits, exponents outside 1e-4 .. 1e16."""
+    tries = [F.format_string(f"%.{places}e", F.abs(value)) for places in (14, 15, 16)]
+    shortest = F.coalesce(*[F.when(t.cast("double") == F.abs(value), t) for t in tries], tries[-1])
+    parts = F.split(shortest, "e")
+    digits = F.regexp_replace(F.replace(parts[0], F.lit("."), F.lit("")), r"(?<=.)0+\z", "")
+    return net.let(F.struct(digits.alias("digits"), parts[1].cast("int").alias("exponent")), lambda n: _spelled(value, n))
+
+
+def _spelled(value: Column, number: Column) -> Column:
+    digits, exponent = number["digits"], number["exponent"]
+    rest = F.substring(digits, 2, 40)
+    power = F.concat(F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    scientific = F.concat(F.substring(digits, 1, 1), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)), power)
+    whole = F.concat(F.rpad(digits, exponent + 1, "0"), F.lit(".0"))
+    split_at = F.concat(F.substr(digits, F.lit(1), exponent + 1), F.lit("."), F.substr(digits, exponent + 2, F.lit(40)))
+    plain = (
+        F.when(value == 0, "0.0")
+        .when((F.abs(value) >= 1e16) | (F.abs(value) < 1e-4), scientific)
+        .when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
         .when(F.length(digits) <= exponent + 1, whole)
         .otherwise(split_at)
     )
+    return F.when(value.isNotNull(), F.concat(F.when(value < 0, "-").otherwise(""), plain))
 
 
 def _value(field: str, kinds: dict[str, str]) -> Column:

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import ipaddress
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from alertloom import fixed_values as fixed
+from alertloom.functions.bind import let
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _DOTTED_QUAD = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
@@ -30,11 +31,6 @@ def ipv4_number(address: Column) -> Column:
     return F.when(address.rlike(rf"^{_DOTTED_QUAD}\z"), number)
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _groups(part: Column) -> Column:
     return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
 

@@ -43,6 +43,11 @@ def element(name: Column | str, text: Column, attrs: Column | str = "") -> Colum
     return F.when(F.length(text) > 0, body).otherwise(F.concat(head, F.lit(" />")))
 
 
+def filled(name: str, escaped: Column) -> Column:
+    """Element around escaped text, self-closing for empty or NULL text."""
+    return F.when(F.length(escaped) > 0, wrap(name, escaped)).otherwise(F.lit(f"<{name} />"))
+
+
 def wrap(name: str, children: Column, attrs: str = "") -> Column:
     """Element around serialised children that are never empty."""
     return F.concat(F.lit(f"<{name}{attrs}>"), children, F.lit(f"</{name}>"))

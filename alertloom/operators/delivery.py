@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from alertloom import fixed_values as fixed
 from alertloom.functions import json_text as jt
+from alertloom.functions.bind import let
 
 # Producer settings: name in the job configuration -> Kafka option, default value.
 PRODUCER_OPTIONS = {
@@ -80,19 +81,22 @@ def ack_line(
 
 def ack_body(origin: Column, event_format: Column, integration: str = fixed.ACK_INTEGRATION) -> Column:
     """JSON text of an acknowledgement from the identity of its alert."""
-    detail = jt.object_text(
-        event_format=jt.quoted(event_format),
-        event_id=jt.quoted(origin["event_id"]),
-        win_timestamp=jt.quoted(origin["win_timestamp"]),
-        wz_timestamp=jt.quoted(origin["alert_timestamp"]),
-    )
-    return jt.object_text(
-        integration=jt.quoted(F.lit(integration)),
-        alert_id=jt.quoted(origin["alert_id"]),
-        agent_name=jt.quoted(origin["agent_name_printed"]),
-        **{fixed.ACK_DETAIL_FIELD: detail},
+    o = origin
+    texts = F.array(
+        event_format, o["event_id"], o["win_timestamp"], o["alert_timestamp"], F.lit(integration), o["alert_id"],
+        o["agent_name_printed"],
     )
 
+    def spelled(quoted: Column) -> Column:
+        detail = jt.object_text(
+            event_format=quoted[0], event_id=quoted[1], win_timestamp=quoted[2], wz_timestamp=quoted[3]
+        )
+        return jt.object_text(
+            integration=quoted[4], alert_id=quoted[5], agent_name=quoted[6], **{fixed.ACK_DETAIL_FIELD: detail}
+        )
+
+    return let(F.transform(texts, jt.quoted), spelled)
+
 
 def acknowledgements(
     messages: DataFrame, integration: str = fixed.ACK_INTEGRATION, keep: list[str] | None = None

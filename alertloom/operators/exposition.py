@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.functions import net
+from alertloom.functions.bind import let
 
 # (metric, type, help text, kind of component, value field); order of the output.
 METRICS = (
@@ -41,7 +41,7 @@ def number_text(value: Column) -> Column:
     shortest = F.coalesce(*[F.when(t.cast("double") == F.abs(value), t) for t in tries], tries[-1])
     parts = F.split(shortest, "e")
     digits = F.regexp_replace(F.replace(parts[0], F.lit("."), F.lit("")), r"(?<=.)0+\z", "")
-    return net.let(F.struct(digits.alias("digits"), parts[1].cast("int").alias("exponent")), lambda n: _spelled(value, n))
+    return let(F.struct(digits.alias("digits"), parts[1].cast("int").alias("exponent")), lambda n: _spelled(value, n))
 
 
 def _spelled(value: Column, number: Column) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertloom.functions.times import micros
+from alertloom.functions.times import micros, moment
 from alertloom.operators import ranking
 
 SECOND = 1_000_000
@@ -190,7 +190,7 @@ def queue_intervals(
         F.sum("processed").alias("total_processed"),
         F.max("size").alias("max_queue_size"),
         F.count_if(full).alias("queue_full_count"),
-        F.max_by("size", F.struct("ts", "seq")).alias("last_queue_size"),
+        F.max_by("size", moment("ts", "seq")).alias("last_queue_size"),
         F.max("capacity").alias("config_max_queue_size"),
     )
     return rows.select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from alertloom import fixed_values as fixed
 from alertloom.functions import json_text as jt
 from alertloom.functions import xmltext
+from alertloom.functions.bind import let
 
 SYSTEM = "$.data.win.system"
 
@@ -54,32 +55,31 @@ def fields(alert: Column) -> Column:
 
 def system_xml(f: Column) -> Column:
     """The ``System`` element; absent optional fields become empty elements."""
-    text = lambda tag, name: xmltext.element(tag, f[name])
-    created = F.concat(
-        F.lit("<TimeCreated"),
-        F.coalesce(xmltext.attributes(SystemTime=f["systemTime"]), F.lit("")),
-        F.lit(" />"),
-    )
-    optional = lambda name: F.coalesce(f[name], F.lit(""))
-    return xmltext.wrap(
-        "System",
-        F.concat(
-            F.lit("<Provider"), xmltext.attributes(Name=f["providerName"], Guid=f["providerGuid"]), F.lit(" />"),
-            text("EventID", "eventID"),
-            text("Version", "version"),
-            text("Level", "level"),
-            text("Task", "task"),
-            text("Opcode", "opcode"),
-            text("Keywords", "keywords"),
-            created,
-            text("EventRecordID", "eventRecordID"),
-            F.lit("<Correlation /><Execution"),
-            xmltext.attributes(ProcessID=optional("processID"), ThreadID=optional("threadID")),
-            F.lit(" />"),
-            text("Channel", "channel"),
-            text("Computer", "computer"),
-            F.lit("<Security />"),
-        ),
+    texts = F.transform(F.array(*[f[n] for n in TEXT_FIELDS]), xmltext.escape_text)
+    values = F.transform(F.array(*[f[n] for n in ATTRIBUTE_FIELDS]), xmltext.escape_attribute)
+    return let(F.struct(texts.alias("text"), values.alias("value")), _system_of_escaped)
+
+
+def _system_of_escaped(escaped: Column) -> Column:
+    text = lambda tag, name: xmltext.filled(tag, escaped["text"][TEXT_FIELDS.index(name)])
+    value = lambda name: F.coalesce(escaped["value"][ATTRIBUTE_FIELDS.index(name)], F.lit(""))
+    system_time = escaped["value"][ATTRIBUTE_FIELDS.index("systemTime")]
+    name, guid = (escaped["value"][ATTRIBUTE_FIELDS.index(n)] for n in ("providerName", "providerGuid"))
+    return F.concat(
+        F.lit('<System><Provider Name="'), name, F.lit('" Guid="'), guid, F.lit('" />'),
+        text("EventID", "eventID"),
+        text("Version", "version"),
+        text("Level", "level"),
+        text("Task", "task"),
+        text("Opcode", "opcode"),
+        text("Keywords", "keywords"),
+        F.coalesce(F.concat(F.lit('<TimeCreated SystemTime="'), system_time, F.lit('" />')), F.lit("<TimeCreated />")),
+        text("EventRecordID", "eventRecordID"),
+        F.lit('<Correlation /><Execution ProcessID="'), value("processID"),
+        F.lit('" ThreadID="'), value("threadID"), F.lit('" />'),
+        text("Channel", "channel"),
+        text("Computer", "computer"),
+        F.lit("<Security /></System>"),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom import fixed_values as fixed
+from alertloom.functions import json_text
 from alertloom.session import configure
 
 
@@ -113,7 +114,8 @@ def alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(e % 97 == 6, _text('{"id":"', e, '"}').cast("binary"))
         .otherwise(whole)
     )
-    return rows.select("event_id", "ts", "user_id", line.cast("string").alias("line"))
+    # Generated once per row; a filter on the line must not spell it a second time.
+    return rows.select("event_id", "ts", "user_id", json_text.once(line=line.cast("string")))
 
 
 def processed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -77,9 +78,9 @@ def allowed_by_table(requests: DataFrame, networks: DataFrame, address: str) ->
 #
 # A request is accepted if fewer than `limit` requests of its client were
 # accepted within the window before it.  Only accepted ones count, so the
-# decision depends on earlier decisions.  But a request with at most `limit`
-# requests of any kind in its window is accepted whatever happened before.  Only
-# requests within a window of a busier ("saturated") one enter the ordered fold;
+# decision depends on earlier decisions.  But a request with fewer than `limit`
+# requests of any kind before it in its window is accepted whatever happened.
+# Only requests within a window of another ("saturated") one enter the ordered fold;
 # they form separate episodes.  A request with no saturated one in its own window
 # has only accepted requests there and is decided by window expressions.
 
@@ -90,34 +91,46 @@ _CHUNK_WINDOWS = 32
 def _near_saturation(requests: DataFrame, client: str, limit: int, window_us: int) -> DataFrame:
     """Mark what the fold must see.
 
-    Adds ``_us``, ``_busy`` (enters the fold), ``_starts`` (opens an episode),
-    ``_open`` (decided by the fold), and ``_used`` and ``_oldest`` for the others.
-
+    Adds ``_us``, ``_saturated`` (``limit`` requests stand before it in its
+    window), ``_open`` (a saturated one stands in its window: the fold decides),
+    ``_busy`` (enters the fold), ``_starts`` (opens an episode) and ``_own``.
     Rows are compared inside time chunks that also hold the rows of three
-    windows before and one window after, so a hot client is spread over tasks.
+    windows before and one window after, so a hot client is spread over tasks;
+    ``_own`` marks the chunk a row belongs to.  Frames are running or look one
+    row back, so the cost of a row does not depend on how busy its client is.
     """
-    width = _CHUNK_WINDOWS * window_us
+    width = F.lit(_CHUNK_WINDOWS * window_us)
     us = micros("request_ts")
-    home = F.floor(us / F.lit(width))
-    first = F.floor((us - window_us) / F.lit(width))
-    last = F.floor((us + 3 * window_us) / F.lit(width))
-    rows = requests.withColumn("_us", us).withColumn("_home", home)
-    rows = rows.withColumn("_chunk", F.explode(F.sequence(first, last)))
+    first, last = F.floor((us - window_us) / width), F.floor((us + 3 * window_us) / width)
+    rows = requests.withColumn("_us", us).withColumn("_chunk", F.explode(F.sequence(first, last)))
+    rows = rows.withColumn("_own", F.col("_chunk") == F.floor(F.col("_us") / width))
     part = Window.partitionBy(client, "_chunk")
-    by_time = part.orderBy("_us")
-    by_row = part.orderBy("_us", "request_id")
-    in_window = by_time.rangeBetween(-(window_us - 1), 0)
-    rows = rows.withColumn("_row", F.row_number().over(by_row))
-    rows = rows.withColumn("_saturated", F.count(F.lit(1)).over(in_window) > limit)
-    around = by_time.rangeBetween(-window_us, window_us)
-    rows = rows.withColumn("_busy", F.max("_saturated").over(around))
-    rows = rows.withColumn("_open", F.max("_saturated").over(in_window))
-    before = F.lag(F.struct("_us", "_busy")).over(by_row)
+    back = part.orderBy(F.col("_us").desc(), F.col("request_id").desc())
+    forth = part.orderBy("_us", "request_id")
+    running = (Window.unboundedPreceding, 0)
+    saturated_at = F.when(F.col("_saturated"), F.col("_us"))
+    rows = rows.withColumn("_saturated", F.coalesce(F.lead("_us", limit).over(back) > F.col("_us") - window_us, F.lit(False)))
+    rows = rows.withColumn("_next", F.last(saturated_at, ignorenulls=True).over(back.rowsBetween(*running)))
+    rows = rows.withColumn("_past", F.last(saturated_at, ignorenulls=True).over(forth.rowsBetween(*running)))
+    rows = rows.withColumn("_open", F.coalesce(F.col("_past") > F.col("_us") - window_us, F.lit(False)))
+    rows = rows.withColumn("_busy", F.col("_open") | F.coalesce(F.col("_next") < F.col("_us") + window_us, F.lit(False)))
+    before = F.lag(F.struct("_us", "_busy")).over(forth)
     detached = before.isNull() | ~before["_busy"] | (F.col("_us") - before["_us"] >= window_us)
-    rows = rows.withColumn("_starts", F.col("_busy") & detached)
-    rows = rows.withColumn("_used", F.col("_row") - F.min("_row").over(in_window) + 1)
-    rows = rows.withColumn("_oldest", F.min("_us").over(in_window))
-    return rows.where(F.col("_chunk") == F.col("_home")).drop("_chunk", "_home", "_row", "_saturated")
+    return rows.withColumn("_starts", F.col("_busy") & detached).drop("_next", "_past")
+
+
+def _decided_by_counting(rows: DataFrame, client: str, window_us: int) -> DataFrame:
+    """``used`` and ``oldest_us`` of requests without a saturated one in their window.
+
+    Among unsaturated requests a window never holds more than the limit.
+    """
+    part = Window.partitionBy(client, "_chunk")
+    in_window = part.orderBy("_us").rangeBetween(-(window_us - 1), 0)
+    calm = rows.where(~F.col("_saturated"))
+    calm = calm.withColumn("_row", F.row_number().over(part.orderBy("_us", "request_id")))
+    calm = calm.withColumn("used", F.col("_row") - F.min("_row").over(in_window) + 1)
+    calm = calm.withColumn("oldest_us", F.min("_us").over(in_window))
+    return calm.where(F.col("_own") & ~F.col("_open"))
 
 
 def _fold(client: str, limit: int, window_us: int):
@@ -127,14 +140,14 @@ def _fold(client: str, limit: int, window_us: int):
     """
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, times = None, []
+        current, times = None, deque()
         for batch in batches:
             accepted, used, oldest = [], [], []
             for owner, episode, now in zip(batch[client], batch["_episode"], batch["_us"]):
                 if (owner, episode) != current:
-                    current, times = (owner, episode), []
+                    current, times = (owner, episode), deque()
                 while times and times[0] <= now - window_us:
-                    times.pop(0)
+                    times.popleft()
                 ok = len(times) < limit
                 if ok:
                     times.append(now)
@@ -163,10 +176,10 @@ def rate_limit(
         )
     window_us = window_seconds * 1_000_000
     rows = _near_saturation(requests, client, limit, window_us)
-    calm = rows.where(~F.col("_open")).select(
-        *columns, F.lit(True).alias("accepted"), F.col("_used").alias("used"), F.col("_oldest").alias("oldest_us")
+    calm = _decided_by_counting(rows, client, window_us).select(
+        *columns, F.lit(True).alias("accepted"), "used", "oldest_us"
     )
-    busy = rows.where("_busy").select(*columns, "_us", "_starts", "_open").withColumn("ts", F.col("request_ts"))
+    busy = rows.where(F.col("_own") & F.col("_busy")).select(*columns, "_us", "_starts", "_open").withColumn("ts", F.col("request_ts"))
     start = F.when(F.col("_starts"), F.col("request_id"))
     busy = series.carry_forward(
         busy, [client], ["ts", "request_id"], start, "_episode", _CHUNK_WINDOWS * window_seconds

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from alertloom.operators import requests, telemetry
 from alertloom.plans import alert_plan
 from alertloom.plans.alert_plan import AlertJob
+from alertloom.sources import tail
 from alertloom.sources.alert_files import alert_lines
+from alertloom.sources.tail import alert_tail_stream
 from alertloom.streaming import alert_stream, rate_limit_stream, telemetry_stream
 from tests.fixtures import fail2ban, windows
 
@@ -28,11 +31,12 @@ def _segments(folder):
 
 def test_alert_stream_equals_batch(spark, tmp_path):
     folder = _segments(tmp_path / "in")
+    name = f"alerts-{uuid.uuid4()}"
     job = AlertJob("customer", prefix='{"timestamp"')
     out = {n: alert_stream.folder_sink(str(tmp_path / n)) for n in ("messages", "replies", "dead")}
     for _ in range(2):  # the second start finds nothing new
         query = alert_stream.start(
-            spark, folder, job, "alerts", out["messages"], out["replies"], out["dead"], once=True, files_per_batch=2,
+            spark, folder, job, name, out["messages"], out["replies"], out["dead"], once=True, files_per_batch=2,
             base=str(tmp_path / "state"),
         )
         query.awaitTermination()
@@ -56,7 +60,7 @@ def test_interval_stream_equals_batch(spark, tmp_path):
     late.write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     result = telemetry_stream.sink_intervals(stream, ["topic"])
-    telemetry_stream.store(result, "intervals", str(tmp_path / "out"), once=True, base=str(tmp_path / "state")).awaitTermination()
+    telemetry_stream.store(result, f"intervals-{uuid.uuid4()}", str(tmp_path / "out"), once=True, base=str(tmp_path / "state")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).drop("max_stages").collect()
     want = telemetry.sink_intervals(df, ["topic"]).drop("max_stages").collect()
     assert sorted(got) == sorted(want) and len(got) > 20
@@ -77,3 +81,40 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     columns = ["client", "request_id", "accepted", "remaining", "reset_at"]
     got = spark.read.parquet(str(tmp_path / "out")).select(columns).collect()
     assert sorted(got) == sorted(requests.rate_limit(df, 2, 60).select(columns).collect())
+
+
+def test_tail_follows_growth_and_rotation(spark, tmp_path):
+    path = tmp_path / "alerts.json"
+    path.write_bytes(b'{"id":0}\n')
+
+    def drain():
+        lines = alert_tail_stream(spark, str(path)).select("line")
+        writer = lines.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        query = writer.option("checkpointLocation", str(tmp_path / "cp")).start()
+        query.processAllAvailable()
+        query.stop()
+        return sorted(r.line for r in spark.read.schema("line string").parquet(str(tmp_path / "out")).collect())
+
+    (tmp_path / "out").mkdir()
+    assert drain() == []
+    with path.open("ab") as file:
+        file.write(b'{"id":1}\r\n{"id":2}\r{"id":3}\n{"id":4')
+    assert drain() == ['{"id":1}', '{"id":2}', '{"id":3}']
+    with path.open("ab") as file:
+        file.write(b'4}\n{"id":5}\n')
+    path.rename(tmp_path / "alerts.json.1")
+    path.write_bytes(b'{"id":6}\n')
+    assert drain() == ['{"id":1}', '{"id":2}', '{"id":3}', '{"id":44}', '{"id":5}', '{"id":6}']
+
+
+def test_tail_pieces_cut_at_lines(tmp_path, monkeypatch):
+    path = tmp_path / "a"
+    lines = [b"x" * n for n in (3, 0, 9, 1, 30, 2)]
+    path.write_bytes(b"\n".join(lines) + b"\n")
+    size = path.stat().st_size
+    for piece in range(1, size + 1):
+        monkeypatch.setattr(tail, "PIECE_BYTES", piece)
+        reader = tail.AlertTailReader(str(path), True)
+        end = {"inode": path.stat().st_ino, "position": size}
+        pieces = reader.partitions({**end, "position": 0}, end)
+        assert [bytes(row[0]) for p in pieces for row in reader.read(p)] == lines

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from alertloom.operators import telemetry
@@ -11,14 +12,19 @@ from alertloom.session import checkpoint_folder
 LATENESS = "10 minutes"
 
 
+def _timed(rows: DataFrame, lateness: str) -> DataFrame:
+    """Event time as an instant, which watermarks require."""
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+
+
 def sink_intervals(operations: DataFrame, keys: list[str], lateness: str = LATENESS, **options) -> DataFrame:
     """``telemetry.sink_intervals`` in event time; rows later than ``lateness`` are left out."""
-    return telemetry.sink_intervals(operations.withWatermark("ts", lateness), keys, **options)
+    return telemetry.sink_intervals(_timed(operations, lateness), keys, **options)
 
 
 def queue_intervals(samples: DataFrame, keys: list[str], lateness: str = LATENESS, **options) -> DataFrame:
     return telemetry.queue_intervals(
-        samples.withWatermark("ts", lateness), keys, options.pop("full", telemetry.nearly_full()), **options
+        _timed(samples, lateness), keys, options.pop("full", telemetry.nearly_full()), **options
     )
 
 

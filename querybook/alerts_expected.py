@@ -209,3 +209,11 @@ EXPECTED = {
         f"SELECT e, 'quarantine', 'quarantine', coalesce({_REASON}, 'replaced') FROM base WHERE f AND m IN (0, 2, 3, 8)"
     ),
 }
+
+_VALUES = EXPECTED["message_values"].removeprefix(BASE)
+_ERRORS = EXPECTED["incident_errors"].removeprefix(BASE)
+
+STREAM = _q(
+    f"SELECT 'message' AS stream, value FROM ({_VALUES}) UNION ALL SELECT 'ack', line FROM acks "
+    f"UNION ALL SELECT 'error', line FROM ({_ERRORS})"
+)

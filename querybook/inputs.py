@@ -88,9 +88,18 @@ def _iso() -> Column:
     return F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a stream."""
+    schema = configure(spark).read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 def alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One alert line per event; every 97th rows are broken in one of several ways."""
-    rows = events(spark, sf_dir)
+    return lines_of(events(spark, sf_dir))
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """One alert line per event; some of every 97 are broken in one of several ways."""
     e, u = F.col("event_id"), F.col("user_id")
     is_windows = F.col("event_type").isin("error", "signup")
     bad_byte = F.when(e % 97 == 8, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
@@ -137,6 +146,10 @@ def elapsed_us() -> Column:
 
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operations_of(events(spark, sf_dir))
+
+
+def operations_of(rows: DataFrame) -> DataFrame:
     """Sink operations: topic, ts, seq, elapsed_us and its stages."""
     e = F.col("event_id")
     us = elapsed_us()
@@ -144,7 +157,7 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     prep, encode, send = part(5), part(7), part(29)
     usual = F.create_map(F.lit("prep"), prep, F.lit("encode"), encode, F.lit("send"), send)
     first = F.map_concat(usual, F.create_map(F.lit("connect"), part(23)))
-    return events(spark, sf_dir).select(
+    return rows.select(
         F.col("event_type").alias("topic"), "ts", e.alias("seq"), us.alias("elapsed_us"),
         F.when(e % 5 == 0, first).otherwise(usual).alias("stages"),
     )
@@ -243,9 +256,13 @@ def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_of(events(spark, sf_dir))
+
+
+def requests_of(rows: DataFrame) -> DataFrame:
     """Request log: a third of all requests come from one client."""
     e, u = F.col("event_id"), F.col("user_id")
-    return events(spark, sf_dir).select(
+    return rows.select(
         e.alias("request_id"), F.col("ts").alias("request_ts"),
         F.when(e % 3 == 0, "hot").otherwise(_text("c", u)).alias("client"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from alertloom.session import configure
-from querybook import alerts, alerts_expected, telemetry, telemetry_expected
+from querybook import alerts, alerts_expected, streams, telemetry, telemetry_expected
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +17,12 @@ def _configured(query: Query) -> Query:
 
 
 def registered() -> dict[str, Query]:
-    return {q.__name__: _configured(q) for q in [*alerts.QUERIES, *telemetry.QUERIES]}
+    return {q.__name__: _configured(q) for q in [*alerts.QUERIES, *telemetry.QUERIES, *streams.QUERIES]}
 
 
 def expected_sql() -> dict[str, str]:
-    return alerts_expected.EXPECTED | telemetry_expected.EXPECTED
+    return alerts_expected.EXPECTED | telemetry_expected.EXPECTED | {
+        "alert_stream": alerts_expected.STREAM,
+        "interval_stream": telemetry_expected.INTERVAL_STREAM,
+        "rate_limit_stream": telemetry_expected.EXPECTED["rate_limit"],
+    }

@@ -333,3 +333,9 @@ EXPECTED = {
         "round(count(*) / 86400.0::DOUBLE, 9) AS ops_per_sec, round(count(*) FILTER (us > 1000000)::DOUBLE / count(*) * 100, 9) AS slow_pct FROM l GROUP BY 1, 2"
     ),
 }
+
+# Intervals that the watermark, ten minutes behind the last row, has closed.
+INTERVAL_STREAM = _q(
+    "SELECT topic, interval_start, operations, slow_operations, max_us FROM iv "
+    "WHERE interval_start + INTERVAL 12 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE"
+)

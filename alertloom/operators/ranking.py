@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alertloom.operators.keys import join_null_safe
+
 # Up to this rank Spark trims each map task's rows before the shuffle
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 MAP_SIDE_RANK_LIMIT = 1000
@@ -54,7 +56,7 @@ def _newest_by_counts(df: DataFrame, order: list[str], n: int, keys: list[str])
         .agg(F.min_by(F.struct("_bucket", "_newer"), "_bucket").alias("_cut"))
     )
     if keys:
-        candidates = bucketed.join(cut, keys)
+        candidates = join_null_safe(bucketed, cut, keys)
     else:
         candidates = bucketed.withColumn("_cut", cut.scalar())
     candidates = candidates.where(F.col("_bucket") >= F.col("_cut._bucket"))

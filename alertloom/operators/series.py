@@ -14,39 +14,40 @@ from pyspark.sql import functions as F
 
 from alertloom.functions.times import micros
 from alertloom.operators import ranking
+from alertloom.operators.keys import key_text
 from alertloom.operators.telemetry import fill_pct
 
 CHUNK_SECONDS = 3600
 
 
-def _chunked(df: DataFrame, seconds: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(micros("ts") / F.lit(seconds * 1_000_000)))
+def _chunked(df: DataFrame, keys: list[str], seconds: int) -> DataFrame:
+    """Adds ``_key`` and ``_chunk``, neither ever NULL; rows without a time come first."""
+    chunk = F.floor(micros("ts") / F.lit(seconds * 1_000_000))
+    return df.withColumn("_key", key_text(keys)).withColumn("_chunk", F.coalesce(chunk, F.lit(-(2**62))))
 
 
-def _inside(keys: list[str], order: list[str]) -> Window:
-    return Window.partitionBy(*keys, "_chunk").orderBy(*order)
+def _inside(order: list[str]) -> Window:
+    return Window.partitionBy("_key", "_chunk").orderBy(*order)
 
 
-def _before(keys: list[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+def _before() -> Window:
+    return Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def carry_forward(
     df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, chunk_seconds: int = CHUNK_SECONDS
 ) -> DataFrame:
     """``name``: the last non-NULL ``value`` of the key up to and including the row."""
-    local = F.last("_value", ignorenulls=True).over(_inside(keys, order))
-    rows = _chunked(df.withColumn("_value", value), chunk_seconds).withColumn("_local", local)
-    summary = rows.groupBy(*keys, "_chunk").agg(
+    local = F.last("_value", ignorenulls=True).over(_inside(order))
+    rows = _chunked(df.withColumn("_value", value), keys, chunk_seconds).withColumn("_local", local)
+    summary = rows.groupBy("_key", "_chunk").agg(
         F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_end")
     )
-    carried = summary.select(
-        *keys, "_chunk", F.last("_end", ignorenulls=True).over(_before(keys)).alias("_carry")
-    )
+    carried = summary.select("_key", "_chunk", F.last("_end", ignorenulls=True).over(_before()).alias("_carry"))
     return (
-        rows.join(carried, [*keys, "_chunk"])
+        rows.join(carried, ["_key", "_chunk"])
         .withColumn(name, F.coalesce("_local", "_carry"))
-        .drop("_value", "_local", "_carry", "_chunk")
+        .drop("_value", "_local", "_carry", "_chunk", "_key")
     )
 
 
@@ -54,38 +55,38 @@ def running_count(
     df: DataFrame, keys: list[str], order: list[str], flag: Column, name: str, chunk_seconds: int = CHUNK_SECONDS
 ) -> DataFrame:
     """``name``: how many rows of the key up to and including the row have ``flag``."""
-    inside = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = _chunked(df.withColumn("_flag", flag), chunk_seconds).withColumn("_local", F.count_if("_flag").over(inside))
-    summary = rows.groupBy(*keys, "_chunk").agg(F.max("_local").alias("_n"))
-    carried = summary.select(
-        *keys, "_chunk", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_carry")
-    )
+    inside = _inside(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = _chunked(df.withColumn("_flag", flag), keys, chunk_seconds)
+    rows = rows.withColumn("_local", F.count_if("_flag").over(inside))
+    summary = rows.groupBy("_key", "_chunk").agg(F.max("_local").alias("_n"))
+    carried = summary.select("_key", "_chunk", F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_carry"))
     return (
-        rows.join(carried, [*keys, "_chunk"])
+        rows.join(carried, ["_key", "_chunk"])
         .withColumn(name, F.col("_local") + F.col("_carry"))
-        .drop("_flag", "_local", "_carry", "_chunk")
+        .drop("_flag", "_local", "_carry", "_chunk", "_key")
     )
 
 
 def trailing(
     df: DataFrame, keys: list[str], order: list[str], value: Column, n: int, name: str, chunk_seconds: int = CHUNK_SECONDS
 ) -> DataFrame:
-    """``name``: array of the last ``n`` values of the key, oldest first, the row's own last."""
-    inside = _inside(keys, order)
-    rows = _chunked(df.withColumn("_value", value), chunk_seconds)
+    """``name``: array of the last ``n`` values of the key, oldest first, the row's own last.
+
+    ``value`` must not be NULL; ``n`` is at least 2.
+    """
+    inside = _inside(order)
+    rows = _chunked(df.withColumn("_value", value), keys, chunk_seconds)
     rows = rows.withColumn("_local", F.collect_list("_value").over(inside.rowsBetween(-(n - 1), 0)))
-    ends = rows.groupBy(*keys, "_chunk").agg(F.max_by("_local", F.struct(*order)).alias("_end"))
+    ends = rows.groupBy("_key", "_chunk").agg(F.max_by("_local", F.struct(*order)).alias("_end"))
     # Every chunk has a row, so the n - 1 chunks before one hold all that it can need.
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-(n - 1), -1) if n > 1 else None
-    if before is None:
-        return rows.withColumn(name, F.col("_local")).drop("_value", "_local", "_chunk")
-    carried = ends.select(*keys, "_chunk", F.flatten(F.collect_list("_end").over(before)).alias("_carry"))
+    before = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(-(n - 1), -1)
+    carried = ends.select("_key", "_chunk", F.flatten(F.collect_list("_end").over(before)).alias("_carry"))
     joined = F.concat("_carry", "_local")
     last_n = F.slice(joined, F.greatest(F.size(joined) - (n - 1), F.lit(1)), F.lit(n))
     return (
-        rows.join(carried, [*keys, "_chunk"])
+        rows.join(carried, ["_key", "_chunk"])
         .withColumn(name, F.when(F.size("_local") == n, F.col("_local")).otherwise(last_n))
-        .drop("_value", "_local", "_carry", "_chunk")
+        .drop("_value", "_local", "_carry", "_chunk", "_key")
     )
 
 

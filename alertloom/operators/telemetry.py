@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from alertloom.functions.times import micros, moment
 from alertloom.operators import ranking
+from alertloom.operators.keys import join_null_safe
 
 SECOND = 1_000_000
 INTERVAL = "600 seconds"
@@ -140,8 +141,7 @@ def slow_sink_intervals(
     )
     order = Window.partitionBy(*group).orderBy("ts", "seq")
     picked = (
-        rows.where(is_slow)
-        .join(stats.select(*group, "_peak"), group)
+        join_null_safe(rows.where(is_slow), stats.select(*group, "_peak"), group)
         .where(F.struct("ts", "seq") >= F.col("_peak"))
         .withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= examples)
@@ -151,8 +151,7 @@ def slow_sink_intervals(
     )
     no_example = F.array().cast("array<map<string,bigint>>")
     return (
-        stats.drop("_peak")
-        .join(picked, group, "left")
+        join_null_safe(stats.drop("_peak"), picked, group, "left")
         .withColumn("last_slow_us", F.coalesce("last_slow_us", F.lit(0)))
         .withColumn("max_us", F.coalesce("max_us", F.lit(0)))
         .withColumn("recent_stages", F.coalesce("recent_stages", no_example))
@@ -263,6 +262,6 @@ def service_metrics(operations: DataFrame, keys: list[str], last: int = 100, slo
         F.count_if(us > slow * SECOND).alias("slow_operations_count"),
     )
     if keys:
-        return totals.join(recent, keys)
+        return join_null_safe(totals, recent, keys)
     measured = recent.select(F.struct("avg_response_time", "slow_operations_count")).scalar()
     return totals.withColumn("_recent", measured).select(*totals.columns, "_recent.*")

@@ -100,21 +100,25 @@ def prometheus_lines(components: DataFrame, keys: list[str]) -> DataFrame:
     for every snapshot; those of the system only if it has a system row.
     """
     kinds = dict(components.dtypes)
-    samples = [
-        F.when(
-            F.col("kind") == kind,
-            F.struct(
-                F.lit(rank).alias("metric_rank"),
-                F.lit(2).alias("line_rank"),
-                F.concat(F.lit(metric), F.col("_labels"), F.lit(" "), _value(field, kinds)).alias("line"),
-            ),
+
+    def samples(kind: str) -> Column:
+        return F.array(
+            *[
+                F.struct(
+                    F.lit(rank).alias("metric_rank"),
+                    F.lit(2).alias("line_rank"),
+                    F.concat(F.lit(metric), F.col("_labels"), F.lit(" "), _value(field, kinds)).alias("line"),
+                )
+                for rank, (metric, _, _, owner, field) in enumerate(METRICS)
+                if owner == kind
+            ]
         )
-        for rank, (metric, _, _, kind, field) in enumerate(METRICS)
-    ]
+
+    owners = dict.fromkeys(owner for *_, owner, _ in METRICS)
+    of_row = F.coalesce(*[F.when(F.col("kind") == kind, samples(kind)) for kind in owners])
     lines = (
         components.withColumn("_labels", _labels())
-        .select(*keys, "name", F.explode(F.array(*samples)).alias("s"))
-        .where(F.col("s").isNotNull())
+        .select(*keys, "name", F.explode(of_row).alias("s"))
         .select(*keys, "s.metric_rank", "s.line_rank", F.coalesce("name", F.lit("")).alias("name"), "s.line")
     )
     headings = F.array(

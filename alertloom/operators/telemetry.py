@@ -31,18 +31,21 @@ def _mean_seconds(micros: Column) -> Column:
 
 
 def worker_performance(
-    processed: DataFrame, keys: list[str], elapsed_seconds: float | None = None, slow: float = 2.0, very_slow: float = 5.0
+    processed: DataFrame, keys: list[str], elapsed_seconds: float | None = None, slow: float = 2.0,
+    very_slow: float = 5.0, interval: str | None = None,
 ) -> DataFrame:
     """Per worker: counts, mean, extremes, slow bands, last time and id, rate.
 
     Input: keys, ``ts``, ``seq``, ``alert_id``, ``elapsed_us``.  The rate is per
     second of ``elapsed_seconds``, or of the time between the first and last row.
+    With ``interval`` there is one row per worker and tumbling interval.
     """
     us, at = F.col("elapsed_us"), F.struct("ts", "seq")
     span = (micros(F.max("ts")) - micros(F.min("ts"))) / F.lit(float(SECOND))
     period = F.lit(float(elapsed_seconds)) if elapsed_seconds else span
     n = F.count(F.lit(1))
-    return processed.groupBy(*keys).agg(
+    spans = [F.window("ts", interval)["start"].alias("interval_start")] if interval else []
+    return processed.groupBy(*keys, *spans).agg(
         n.alias("alerts_processed"),
         F.sum(us).alias("total_us"),
         _mean_seconds(us).alias("avg_processing"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from alertloom.operators import telemetry
+from alertloom.operators import ingest, telemetry
 from alertloom.session import checkpoint_folder
 
 LATENESS = "10 minutes"
@@ -28,6 +28,18 @@ def queue_intervals(samples: DataFrame, keys: list[str], lateness: str = LATENES
     )
 
 
+def worker_intervals(
+    processed: DataFrame, keys: list[str], interval: str = telemetry.INTERVAL, lateness: str = LATENESS, **options
+) -> DataFrame:
+    """``telemetry.worker_performance`` per interval."""
+    return telemetry.worker_performance(_timed(processed, lateness), keys, interval=interval, **options)
+
+
+def ingest_stats(parsed: DataFrame, keys: list[str], lateness: str = LATENESS, **options) -> DataFrame:
+    """``ingest.ingest_stats`` over parsed lines with an event or arrival time ``ts``."""
+    return ingest.ingest_stats(_timed(parsed, lateness), "ts", keys=keys, **options)
+
+
 def store(intervals: DataFrame, name: str, folder: str, *, once: bool = False, base: str | None = None) -> StreamingQuery:
     """Append finished intervals to a table that the series operators read."""
     home = checkpoint_folder(intervals.sparkSession, base)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alertloom.operators import exposition, health, requests, series, telemetry
+from alertloom.operators import exposition, health, ingest, requests, series, telemetry
 from querybook import inputs
 
 HALF_DAY = {"interval": "43200 seconds", "interval_seconds": 43200.0}
@@ -124,6 +124,19 @@ def slow_alert_severity(spark, sf):
     return rows.select("seq", series.slow_alert_severity(telemetry.seconds(F.col("elapsed_us")) * 3).alias("severity"))
 
 
+def slow_alert_quarantine(spark, sf):
+    rows = inputs.processed(spark, sf)
+    slow = ingest.slow_alerts_to_quarantine(rows, telemetry.seconds(F.col("elapsed_us")), 3.0)
+    return slow.select("seq", "alert_id", "reason")
+
+
+def worker_intervals(spark, sf):
+    rows = telemetry.worker_performance(inputs.processed(spark, sf), ["worker"], 43200.0, interval=HALF_DAY["interval"])
+    return _rounded(rows, "rate").select(
+        "worker", "interval_start", "alerts_processed", "total_us", "slow_alerts", "last_alert_id", "rate"
+    )
+
+
 def _telemetry_events(spark, sf):
     e, v = F.col("event_id"), F.col("value")
     kinds = F.array(*[F.lit(k) for k in (*series.ROUTED_EVENTS, "service_performance")])
@@ -266,5 +279,5 @@ QUERIES = [
     history_retention, queue_fill_severity, slow_alert_severity, immediate_alerts, event_routing, worker_status,
     queue_status, service_status, system_status, overall_status, queue_health, worker_health, system_health,
     queue_summary, worker_summary, component_summary, quick_status, readiness, detailed_report, prometheus_lines,
-    row_validation, rate_limit, sender_intervals,
+    row_validation, rate_limit, sender_intervals, slow_alert_quarantine, worker_intervals,
 ]

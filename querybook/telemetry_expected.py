@@ -324,6 +324,14 @@ EXPECTED = {
         "CASE WHEN v > 100 THEN 'utilization_percentage' END, CASE WHEN e - 50 < 0 THEN 'total_processed' END, "
         "CASE WHEN v - 1 < 0 THEN 'avg_wait_time' END) AS violations FROM ev"
     ),
+    "slow_alert_quarantine": _q(
+        "SELECT e AS seq, 'a' || e AS alert_id, 'slow_processing' AS reason FROM ev WHERE us > 3000000"
+    ),
+    "worker_intervals": _q(
+        "SELECT worker, half AS interval_start, count(*) AS alerts_processed, sum(us)::BIGINT AS total_us, "
+        "count(*) FILTER (us > 2000000 AND us <= 5000000) AS slow_alerts, last('a' || e ORDER BY ts, e) AS last_alert_id, "
+        "round(count(*) / 43200.0::DOUBLE, 6) AS rate FROM ev GROUP BY 1, 2"
+    ),
     "rate_limit": _RATE_LIMIT,
     "sender_intervals": (
         "WITH l AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE 's' || l_suppkey END AS sender, date_trunc('day', l_shipdate) AS d, l_shipdate AS ts, "

@@ -66,6 +66,18 @@ def test_interval_stream_equals_batch(spark, tmp_path):
     assert sorted(got) == sorted(want) and len(got) > 20
 
 
+def test_worker_and_ingest_streams_are_accepted(spark, tmp_path):
+    schema = "worker string, ts timestamp, seq long, alert_id string, elapsed_us long, reason string, replaced boolean"
+    rows = [("w", START + timedelta(seconds=i), i, f"a{i}", i, None if i % 5 else "invalid_json", False) for i in range(2000)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    for n, form in enumerate((telemetry_stream.worker_intervals, telemetry_stream.ingest_stats)):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = str(tmp_path / f"out{n}")
+        telemetry_stream.store(form(stream, ["worker"]), f"s-{uuid.uuid4()}", out, once=True, base=str(tmp_path)).awaitTermination()
+        counts = [sum(v for k, v in r.asDict().items() if k in ("alerts_processed", "total_alerts", "error_count")) for r in spark.read.parquet(out).collect()]
+        assert counts == [600, 600]
+
+
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
     rows = [(f"c{i % 3}", START + timedelta(seconds=4 * i), i) for i in range(300)]
     df = spark.createDataFrame(rows, "client string, request_ts timestamp, request_id long")

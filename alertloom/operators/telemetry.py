@@ -44,8 +44,8 @@ def worker_performance(
     span = (micros(F.max("ts")) - micros(F.min("ts"))) / F.lit(float(SECOND))
     period = F.lit(float(elapsed_seconds)) if elapsed_seconds else span
     n = F.count(F.lit(1))
-    spans = [F.window("ts", interval)["start"].alias("interval_start")] if interval else []
-    return processed.groupBy(*keys, *spans).agg(
+    spans = [F.window("ts", interval).alias("span")] if interval else []
+    rows = processed.groupBy(*keys, *spans).agg(
         n.alias("alerts_processed"),
         F.sum(us).alias("total_us"),
         _mean_seconds(us).alias("avg_processing"),
@@ -58,6 +58,7 @@ def worker_performance(
         F.coalesce(F.when(period > 0, n / period), F.lit(0.0)).alias("rate"),
         F.max("ts").alias("last_ts"),
     )
+    return rows.withColumn("span", F.col("span.start")).withColumnRenamed("span", "interval_start") if interval else rows
 
 
 def recent_average(processed: DataFrame, keys: list[str], last: int = 100) -> DataFrame:

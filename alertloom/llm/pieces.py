@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from alertloom.llm.tables import Recent, slices
 
 # Encoded segments that a worker keeps: this many of late, and as many from before.
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 500_000
 SPACE = "▁"
 # Longest segment that is encoded and cached whole; longer ones are cut where the vocabulary allows.
 LONG_SEGMENT = 64
@@ -67,19 +67,11 @@ class Vocabulary:
     def _segments(self) -> re.Pattern:
         """What texts are cut into, at places where no piece spans the two neighbours.
 
-        A mark is a character that pieces have only first or after other marks.  A segment
-        is a run of blanks and line breaks, a run of other marks, and the rest up to the
-        next mark; either run may be missing, not both.
+        A segment is a run of blanks and line breaks with what follows it.
         """
-        blanks = {SPACE, "\n"}
-        if any(pair[1] in blanks and pair[0] != pair[1] for pair in self.inside):
+        if any(pair[1] in (SPACE, "\n") and pair[0] != pair[1] for pair in self.inside):
             raise ValueError("a piece holds a blank or line break after another character")
-        marks = blanks | {c for c in map(chr, range(33, 127)) if not c.isalpha()}
-        while bad := {pair[1] for pair in self.inside if pair[1] in marks and pair[0] not in marks}:
-            marks -= bad
-        other = "".join(map(re.escape, sorted(marks - blanks)))
-        run, rest = (f"[{other}]" if other else "(?!)"), f"[^ \n{other}]*"
-        return re.compile(f"[ \n]+{run}*{rest}|{run}+{rest}" if other else f"[ \n]+{rest}")
+        return re.compile(r"[ \n]+[^ \n]*")
 
     def segments(self, text: str) -> list[str]:
         """The segments of a text with the blank that the library puts first; none of an empty text."""

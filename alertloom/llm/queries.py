@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import exact, language, pieces, simhash, token_counts
+from alertloom.llm import ann, exact, language, mixing, pieces, shards, simhash, token_counts
 from alertloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,10 +18,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predicted(docs.select("doc_id", "text"), language.train(docs))
@@ -32,6 +40,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents"), F.array("source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pieces.encoded(docs, PIECES)
@@ -49,7 +62,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op2_token_counts, op5_language, op6_exact_dedup, op8_sentencepiece, op10_simhash)
+    q.__name__: q
+    for q in (
+        op1_permutation_index, op2_token_counts, op4_sharding, op5_language, op6_exact_dedup, op7_mixing,
+        op8_sentencepiece, op10_simhash,
+    )
 }
 
 EXPECTED = {

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import ann, exact, language, mixing, pieces, shards, simhash, token_counts
+from alertloom.llm import ann, exact, language, mixing, pieces, shards, simhash, token_counts, toxicity
 from alertloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -65,7 +71,7 @@ QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_permutation_index, op2_token_counts, op4_sharding, op5_language, op6_exact_dedup, op7_mixing,
-        op8_sentencepiece, op10_simhash,
+        op8_sentencepiece, op9_toxicity, op10_simhash,
     )
 }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import string
 from collections.abc import Callable
 
@@ -9,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import ann, exact, language, mixing, pieces, shards, simhash, token_counts, toxicity
+from alertloom.llm import ann, chat, exact, language, mixing, pieces, shards, simhash, token_counts, toxicity
 from alertloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,24 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), PIECES)
 
 
+# What conversation -1 says, in both of its turns.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one layout, and a conversation of another, through the same mappings; read back from the formatted turns."""
+    rows = table(spark, sf_dir, "conversations")
+    single = rows.select(
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("place"),
+        F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"),
+    )
+    messages = [{"role": role, "content": TRICKY} for role in ("user", "assistant")]
+    more = spark.createDataFrame([(-1, 0, json.dumps({"messages": messages}))], single.schema)
+    turns = chat.canonical(single.unionByName(more)).select("conv_id", "place", F.posexplode("turns").alias("within", "t"))
+    found = chat.read_back(chat.rendered(turns.select("conv_id", "place", "within", "t.role", "t.text")))
+    return chat.summaries(found, ["place", "within", "role", "text"])
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded(table(spark, sf_dir, "documents"))
 
@@ -70,11 +89,43 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        op1_permutation_index, op2_token_counts, op4_sharding, op5_language, op6_exact_dedup, op7_mixing,
+        op1_permutation_index, op2_token_counts, op3_chat_formatting, op4_sharding, op5_language, op6_exact_dedup, op7_mixing,
         op8_sentencepiece, op9_toxicity, op10_simhash,
     )
 }
 
+_ROLE = "coalesce(CASE lower(role) WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant' ELSE role END, '')"
+_ESCAPES = r"regexp_replace({0}, '([<\[])(\\*(?:\|turn\|>|\|text\|>|/s>|s>|INST\]|/INST\]))', '\1\\\2', 'g')"
+_SIZE = r"coalesce(len(regexp_extract_all(text, '[^ \t-\r]+')), 0)"
+
+
+def _draw_sql(rounds: int) -> str:
+    """CTEs draw_0, draw_1, ...: each takes what fits of the documents that none before has taken."""
+    parts = ["open_1 AS (SELECT d.doc_id, d.source, d.size, d.key, s.rest AS gap FROM d JOIN s USING (source) WHERE d.size > 0)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"""
+            draw_{k} AS (
+                SELECT * FROM (
+                    SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key) AS reached FROM open_{k} WHERE size <= gap
+                ) WHERE reached <= gap
+            ),
+            open_{k + 1} AS (
+                SELECT o.doc_id, o.source, o.size, o.key, o.gap - coalesce(g.taken, 0) AS gap
+                FROM open_{k} o ANTI JOIN draw_{k} USING (doc_id)
+                LEFT JOIN (SELECT source, sum(size) AS taken FROM draw_{k} GROUP BY source) g USING (source)
+            )""".replace("FROM open_%d o ANTI JOIN draw_%d USING (doc_id)" % (k, k), f"FROM (SELECT * FROM open_{k} WHERE doc_id NOT IN (SELECT doc_id FROM draw_{k})) o"))
+    last = rounds + 1
+    parts.append(f"""
+        nearer AS (
+            SELECT doc_id, size, gap FROM open_{last} WHERE gap > 0
+            QUALIFY row_number() OVER (PARTITION BY source ORDER BY size, key) = 1
+        ),
+        drawn AS (""" + " UNION ALL ".join(f"SELECT doc_id FROM draw_{k}" for k in range(1, last)) + """
+            UNION ALL SELECT doc_id FROM nearer WHERE size < 2 * gap
+        )""")
+    return ",".join(parts)
+
+
 EXPECTED = {
     "op6_exact_dedup": f"""
         WITH d AS (
@@ -87,4 +138,55 @@ EXPECTED = {
         )
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM g
     """,
+    "op3_chat_formatting": f"""
+        WITH t AS (
+            SELECT conv_id, turn, {_ROLE} AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '{TRICKY}' UNION ALL SELECT -1, 1, 'assistant', '{TRICKY}'
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+            sum({len(chat.OPEN) + len(chat.ROLE_END) + len(chat.CLOSE)} + length({_ESCAPES.format("role")}) + length({_ESCAPES.format("text")}))::BIGINT
+                AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
+    # Sources stop at twice their size in the order of size by weight: a source stops if its share at that point is
+    # above, and shares are those of the first source that does not.
+    "op7_mixing": f"""
+        WITH d AS (
+            SELECT doc_id, coalesce('=' || source, '') AS source, {_SIZE}::BIGINT AS size,
+                md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+            FROM documents
+        ),
+        w AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                [{", ".join(map(str, mixing.WEIGHTS))}][(row_number() OVER (ORDER BY source = '', source) - 1) % {len(mixing.WEIGHTS)} + 1] AS weight
+            FROM d GROUP BY source
+        ),
+        c AS (
+            SELECT *, row_number() OVER o AS place,
+                3 * sum(source_size) OVER () - 4 * (sum(source_size) OVER o - source_size) AS num,
+                sum(weight) OVER () - (sum(weight) OVER o - weight) AS den
+            FROM w WINDOW o AS (ORDER BY source_size / weight, source = '', source)
+        ),
+        f AS (SELECT *, min(place) FILTER (WHERE weight * num <= 4 * den * source_size) OVER () AS first_free FROM c),
+        q AS (
+            SELECT source, source_size,
+                CASE WHEN place < first_free OR first_free IS NULL THEN 2.0 * source_size
+                    ELSE (weight * max(num) FILTER (WHERE place = first_free) OVER ())::DOUBLE
+                        / (2 * max(den) FILTER (WHERE place = first_free) OVER ())::DOUBLE END AS target
+            FROM f
+        ),
+        s AS (
+            SELECT source, source_size, target::DOUBLE AS target,
+                CASE WHEN source_size = 0 THEN 0 ELSE floor(target + 0.5)::BIGINT // source_size END AS whole,
+                CASE WHEN source_size = 0 THEN 0 ELSE floor(target + 0.5)::BIGINT % source_size END AS rest
+            FROM q
+        ),
+        {_draw_sql(mixing.ROUNDS)}
+        SELECT d.doc_id, d.size, s.source_size, s.target,
+            (d.size * (s.whole + CASE WHEN d.doc_id IN (SELECT doc_id FROM drawn) THEN 1 ELSE 0 END))::BIGINT AS taken
+        FROM d JOIN s USING (source)
+    """,
 }

@@ -16,6 +16,8 @@ from __future__ import annotations
 import functools
 import math
 import re
+import string
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +38,7 @@ BUCKETS = 1 << 18
 MAX_FEATURES = 512
 LEAST_EVIDENCE = 15.0
 # Weight of the penalty on squared coefficients.
-PENALTY = 0.1
+PENALTY = 0.01
 THRESHOLD = 0.3
 # Longest token that is decoded, and longest run of single characters.
 LONGEST = 64
@@ -53,11 +55,14 @@ SEPARATORS = " .-_*~'/,:"
 # Log probabilities of the channel.
 PLAIN, LOOK_ALIKE, SKIPPED, REPEATED = 0.0, -1.0, -0.5, -0.5
 
-_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+# Signs that are taken off the ends of a token.
+_AROUND = string.punctuation + "«»„“”’…¡¿"
+# Of these, signs that do not stand for letters.
+_NEVER_LETTERS = "".join(c for c in _AROUND if c not in LOOKS_LIKE)
 _LETTER = re.compile(r"[^\W\d_]")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-# Four or more single characters with one separator between each two.
-_SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+][ .\-_*]){3,}[\w@$!|+](?!\S)")
+# Four or more single signs with blanks between; other separators leave one token.
+_SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+] ){3,}[\w@$!|+](?!\S)")
 
 
 class Characters:
@@ -119,31 +124,25 @@ def suspicious(token: str) -> bool:
     return not token.isalpha() and any(c in LOOKS_LIKE or c in SEPARATORS for c in token) or bool(_TRIPLE.search(token))
 
 
-def _core(token: str) -> str:
-    return _EDGES.sub("", token)
-
-
-def words_of(text: str, characters: Characters | None, restore: dict[str, str]) -> list[str]:
-    """The words of the restored text: lower-case, without signs at the edges, disguised ones decoded."""
-    low = text.lower()
-    found = list(map(restore.__getitem__, low.split()))
+def _restored(token: str, characters: Characters | None) -> str:
+    """A lower-case token without signs at its ends, decoded if it may be disguised."""
+    if token.isalpha() and not _TRIPLE.search(token):
+        return token
     if characters is not None:
-        for run in _SPACED.findall(low):
-            # Long runs are decoded piece by piece.
-            found += [characters.decoded(run[k : k + 2 * LONGEST]) for k in range(0, len(run), 2 * LONGEST)]
-    return found
-
+        for form in (token.strip(_NEVER_LETTERS), token.strip(_AROUND)):
+            if suspicious(form):
+                return characters.decoded(form)
+    return token.strip(_AROUND)
 
-def _restorer(characters: Characters | None) -> dict[str, str]:
-    def restored(token: str) -> str:
-        core = _core(token)
-        if characters is not None:
-            for form in (token.strip("\"'.,;:?#%*&~()[]{}<>"), core):
-                if suspicious(form):
-                    return characters.decoded(form)
-        return core
 
-    return Recent(restored, CACHE_TOKENS)
+def _runs(low: str, tokens: list[str], characters: Characters | None) -> list[str]:
+    """Words that are spelled with blanks between their letters; long runs are decoded piece by piece."""
+    if characters is None or list(map(len, tokens)).count(1) < 4:
+        return []
+    return [
+        characters.decoded(run[k : k + 2 * LONGEST])
+        for run in _SPACED.findall(low) for k in range(0, len(run), 2 * LONGEST)
+    ]
 
 
 def features(word: str) -> list[int]:
@@ -166,23 +165,40 @@ class Model:
 
 
 class _Reader:
-    """Which features of interest a text has; one per task, with caches of tokens and words."""
+    """Which features of interest a text has; keeps what it has found for tokens."""
 
     def __init__(self, characters: Characters | None, wanted: set[int] | None):
-        self.characters, self.restore = characters, _restorer(characters)
-        own = (lambda w: features(w)) if wanted is None else (lambda w: [k for k in features(w) if k in wanted])
-        self.found = Recent(own, CACHE_TOKENS)
+        self.characters, self.wanted = characters, wanted
+        self.found = Recent(self._of, CACHE_TOKENS)
+
+    def _of(self, token: str) -> tuple[int, ...]:
+        own = features(_restored(token, self.characters))
+        return tuple(own) if self.wanted is None else tuple(k for k in own if k in self.wanted)
 
     def __call__(self, text: str) -> set[int]:
         seen: set[int] = set()
-        found = self.found
-        for word in set(words_of(text, self.characters, self.restore)):
-            own = found[word]
+        found, low = self.found, text.lower()
+        tokens = low.split()
+        for token in set(tokens):
+            own = found[token]
             if own:
                 seen.update(own)
+        for word in _runs(low, tokens, self.characters):
+            seen.update(k for k in features(word) if self.wanted is None or k in self.wanted)
         return seen
 
 
+_READERS: dict[str, _Reader] = {}
+
+
+def _reader(name: str, characters: Characters | None, wanted: set[int] | None) -> _Reader:
+    """The worker's reader of that name, kept from task to task; one at a time."""
+    if name not in _READERS:
+        _READERS.clear()
+        _READERS[name] = _Reader(characters, wanted)
+    return _READERS[name]
+
+
 def _sample(rows: DataFrame, limit: int) -> DataFrame:
     share = min(1.0, limit / max(1, rows.count()))
     draw = F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1 << 30))
@@ -195,7 +211,7 @@ def character_model(texts: DataFrame) -> Characters:
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: Counter[str] = Counter()
         for part in slices(parts, "text"):
-            words = Counter(w for t in part.column("text").to_pylist() for w in map(_core, (t or "").lower().split()))
+            words = Counter(w.strip(_AROUND) for t in part.column("text").to_pylist() for w in (t or "").lower().split())
             for word, n in words.items():
                 if word.isalpha() and len(word) <= LONGEST:
                     padded = f"^^{word}$"
@@ -260,8 +276,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model
     characters = character_model(sample)
     shared = docs.sparkSession.sparkContext.broadcast(characters)
 
+    name = uuid.uuid4().hex
+
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, counts, rows = _Reader(shared.value, None), np.zeros((2, BUCKETS), np.int64), [0, 0]
+        reader, counts, rows = _reader(f"all {name}", shared.value, None), np.zeros((2, BUCKETS), np.int64), [0, 0]
         for part in slices(parts, "text"):
             for label, text in zip(part.column("toxic").to_pylist(), part.column("text").to_pylist()):
                 counts[label, list(reader(text))] += 1
@@ -284,7 +302,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model
     wanted = set(chosen)
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(shared.value, wanted)
+        reader = _reader(f"chosen {name}", shared.value, wanted)
         for part in slices(parts, "text"):
             found = [sorted(reader(t)) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
@@ -303,9 +321,11 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
+    name = uuid.uuid4().hex
+
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        reader = _Reader(own.characters, set(own.weights))
+        reader = _reader(f"score {name}", own.characters, set(own.weights))
         for part in slices(parts, "text"):
             found = [own.score(reader(t or "")) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
@@ -320,10 +340,14 @@ def restored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model.characters)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
+    def words(text: str, characters: Characters) -> str:
+        low = text.lower()
+        tokens = low.split()
+        return " ".join([*(_restored(t, characters) for t in tokens), *_runs(low, tokens, characters)])
+
     def restore(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _restorer(shared.value)
         for part in slices(parts, "text"):
-            found = [" ".join(words_of(t or "", shared.value, known)) for t in part.column("text").to_pylist()]
+            found = [words(t or "", shared.value) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "restored"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -158,12 +158,23 @@ class Model:
     characters: Characters | None
     weights: dict[int, float]
     bias: float
+    # Features that no clean row of the sample has; having any of them is a feature too.
+    pure: frozenset[int] = frozenset()
 
     def score(self, found: set[int]) -> float:
+        found = _marked(found, self.pure)
         # Added in a fixed order, so that reruns agree to the last bit.
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.bias + sum(self.weights[k] for k in sorted(found))))))
 
 
+# The feature of having a feature that no clean row has.
+ANY_PURE = BUCKETS
+
+
+def _marked(found: set[int], pure: frozenset[int]) -> set[int]:
+    return found if pure.isdisjoint(found) else found | {ANY_PURE}
+
+
 class _Reader:
     """Which features of interest a text has; keeps what it has found for tokens."""
 
@@ -307,9 +318,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model
             found = [sorted(reader(t)) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
 
-    rows = sorted((r["toxic"], r["found"]) for r in sample.mapInArrow(read, "toxic int, found array<int>").collect())
-    weights, bias = _fitted(rows, chosen)
-    return Model(characters, dict(zip(chosen, weights.tolist())), bias)
+    pure = frozenset(k for k in chosen if not counts[1, k])
+    read_rows = sample.mapInArrow(read, "toxic int, found array<int>").collect()
+    rows = sorted((r["toxic"], sorted(_marked(set(r["found"]), pure))) for r in read_rows)
+    weights, bias = _fitted(rows, [*chosen, ANY_PURE])
+    return Model(characters, dict(zip([*chosen, ANY_PURE], weights.tolist())), bias, pure)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

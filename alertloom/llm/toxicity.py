@@ -25,11 +25,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm.language import learnable
-from alertloom.llm.tables import Recent, slices
+from alertloom.llm.tables import Recent, checkpointed, slices
 
 # Rows that the models are fitted on, about; all if there are fewer.
 SAMPLE_ROWS = 20_000
@@ -210,10 +210,10 @@ def _reader(name: str, characters: Characters | None, wanted: set[int] | None) -
     return _READERS[name]
 
 
-def _sample(rows: DataFrame, limit: int) -> DataFrame:
-    share = min(1.0, limit / max(1, rows.count()))
-    draw = F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1 << 30))
-    return rows.where(draw < int(share * (1 << 30)))
+def _drawn(known: DataFrame, limit: int) -> Column:
+    """Whether a row's id is among the about ``limit`` that are drawn from ``known``; the same for both sides of a join."""
+    share = min(1.0, limit / max(1, known.count()))
+    return F.pmod(F.xxhash64(F.lit("toxicity sample"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
 def character_model(texts: DataFrame) -> Characters:
@@ -278,12 +278,14 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model
     Rows whose label is null, and ids that are labelled both ways, teach nothing.  Without a
     toxic or without a clean row the model scores everything alike, by the share of toxic rows.
     """
-    known = labels.where(F.col("toxic").isin(0, 1) & learnable(F.col("doc_id"))).groupBy("doc_id").agg(
+    known = labels.where(F.col("toxic").isin(0, 1) & learnable(F.col("doc_id"))).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
         F.min("toxic").cast("int").alias("toxic"), F.max("toxic").cast("int").alias("other")
     )
     known = known.where(F.col("toxic") == F.col("other")).select("doc_id", "toxic")
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = texts.join(_sample(known, limit), "doc_id").select("toxic", "text")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # Drawn on both sides before they meet, so that the texts of all other rows do not shuffle; read once.
+    drawn = _drawn(known, limit)
+    sample = checkpointed(texts.where(drawn).join(known.where(drawn), "doc_id").select("toxic", "text"))
     characters = character_model(sample)
     shared = docs.sparkSession.sparkContext.broadcast(characters)
 

@@ -53,16 +53,19 @@ def _newest_by_counts(df: DataFrame, order: list[str], n: int, keys: list[str])
         )
         .where(F.col("_newer") < n)
         .groupBy(*keys)
-        .agg(F.min_by(F.struct("_bucket", "_newer"), "_bucket").alias("_cut"))
+        .agg(F.max_by(F.struct("_bucket", "_newer"), "_newer").alias("_cut"))
     )
     if keys:
         candidates = join_null_safe(bucketed, cut, keys)
     else:
         candidates = bucketed.withColumn("_cut", cut.scalar())
-    candidates = candidates.where(F.col("_bucket") >= F.col("_cut._bucket"))
+    # A missing first order value is older than any other, in a bucket as in a descending sort.
+    bucket, cut_at = F.col("_bucket"), F.col("_cut._bucket")
+    newer = F.coalesce(bucket > cut_at, bucket.isNotNull() & cut_at.isNull())
+    candidates = candidates.where(newer | bucket.eqNullSafe(cut_at))
     in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(*_descending(order))
     return (
         candidates.withColumn("_rank", F.row_number().over(in_bucket))
-        .where((F.col("_bucket") > F.col("_cut._bucket")) | (F.col("_rank") <= n - F.col("_cut._newer")))
+        .where(newer | (F.col("_rank") <= n - F.col("_cut._newer")))
         .select(*df.columns)
     )

@@ -21,9 +21,10 @@ def client_address(forwarded_for: Column, real_ip: Column, peer: Column) -> Colu
 
     An empty header counts as missing; a header with an empty first item does not.
     """
+    blank = F.lit(fixed.STRIPPED_CHARACTERS)
     return (
-        F.when(F.length(forwarded_for) > 0, F.trim(F.split(forwarded_for, ",")[0]))
-        .when(F.length(real_ip) > 0, F.trim(real_ip))
+        F.when(F.length(forwarded_for) > 0, F.btrim(F.split(forwarded_for, ",")[0], blank))
+        .when(F.length(real_ip) > 0, F.btrim(real_ip, blank))
         .when(F.length(peer) > 0, peer)
         .otherwise("127.0.0.1")
     )
@@ -54,7 +55,9 @@ def allowed_by_table(requests: DataFrame, networks: DataFrame, address: str) ->
     range comparison of all pairs nor a broadcast of unknown size is needed.
     """
     parts = F.split("network", "/")
-    length = F.coalesce(F.try_element_at(parts, F.lit(2)).cast("int"), F.lit(32))
+    stated = F.try_element_at(parts, F.lit(2))
+    # A network whose length is not a number matches no one, and does not end the job.
+    length = F.when(stated.isNull(), F.lit(32)).otherwise(stated.try_cast("int"))
     number = net.ipv4_number(parts[0])
     keys = networks.where(number.isNotNull() & length.between(0, 32)).select(_prefix(number, length).alias("_key"))
     addresses = requests.select(F.col(address).alias("_address")).distinct()

@@ -34,12 +34,18 @@ def kafka_sink(options: dict[str, str]) -> Sink:
     return write
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def deliver(job: AlertJob, staging: str, messages: Sink, replies: Sink, dead_letters: Sink) -> Sink:
     """Batch function: stage all records once, send messages, then reply.
 
     Acknowledgements and errors are published only after the messages are out.  If a step
     fails the batch is not committed and runs again: delivery is at least once,
-    and exactly once for sinks that replace a batch.
+    and exactly once for sinks that replace a batch.  What was staged is removed when
+    all of it is out.
     """
 
     def run(lines: DataFrame, batch_id: int) -> None:
@@ -51,6 +57,7 @@ def deliver(job: AlertJob, staging: str, messages: Sink, replies: Sink, dead_let
         messages(of(alert_plan.MESSAGE).select("value"), batch_id)
         replies(of(alert_plan.ACK, alert_plan.ERROR).select("stream", "value"), batch_id)
         dead_letters(of(alert_plan.REJECTED, alert_plan.QUARANTINE), batch_id)
+        _remove(lines.sparkSession, place)
 
     return run
 

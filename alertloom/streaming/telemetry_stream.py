@@ -40,6 +40,16 @@ def ingest_stats(parsed: DataFrame, keys: list[str], lateness: str = LATENESS, *
     return ingest.ingest_stats(_timed(parsed, lateness), "ts", keys=keys, **options)
 
 
+def completed(stored: DataFrame, every: DataFrame, keys: list[str]) -> DataFrame:
+    """``stored`` intervals of a stream, and those of ``every`` that no watermark has closed yet.
+
+    ``every`` is the batch form of the same aggregate over the raw rows kept so far.
+    """
+    same = [F.col(f"_every.{c}").eqNullSafe(F.col(f"_stored.{c}")) for c in (*keys, "interval_start")]
+    still_open = every.alias("_every").join(stored.alias("_stored"), same, "left_anti")
+    return stored.unionByName(still_open.select(*stored.columns))
+
+
 def store(intervals: DataFrame, name: str, folder: str, *, once: bool = False, base: str | None = None) -> StreamingQuery:
     """Append finished intervals to a table that the series operators read."""
     home = checkpoint_folder(intervals.sparkSession, base)

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from alertloom.operators import telemetry as batch_telemetry
 from alertloom.plans.alert_plan import AlertJob
 from alertloom.session import checkpoint_folder
 from alertloom.streaming import alert_stream as alerts
@@ -38,7 +39,10 @@ def interval_stream(spark, sf):
     home = _home(spark, "interval_stream")
     rows = telemetry.sink_intervals(inputs.operations_of(inputs.event_stream(spark, sf)), ["topic"], **HALF_DAY)
     telemetry.store(rows, f"{home.rsplit('/', 1)[1]}", f"{home}/table", once=True, base=home).awaitTermination()
-    return spark.read.parquet(f"{home}/table").select("topic", "interval_start", "operations", "slow_operations", "max_us")
+    raw = inputs.operations(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    every = batch_telemetry.sink_intervals(raw, ["topic"], **HALF_DAY)
+    found = telemetry.completed(spark.read.parquet(f"{home}/table"), every, ["topic"])
+    return found.select("topic", "interval_start", "operations", "slow_operations", "max_us")
 
 
 def rate_limit_stream(spark, sf):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from alertloom.operators import requests, telemetry
@@ -129,4 +131,47 @@ def test_tail_pieces_cut_at_lines(tmp_path, monkeypatch):
         reader = tail.AlertTailReader(str(path), True)
         end = {"inode": path.stat().st_ino, "position": size}
         pieces = reader.partitions({**end, "position": 0}, end)
-        assert [bytes(row[0]) for p in pieces for row in reader.read(p)] == lines
+        assert _lines(reader, pieces) == lines
+
+
+def _lines(reader, pieces):
+    return [line for p in pieces for batch in reader.read(p) for line in batch.column("line").to_pylist()]
+
+
+def test_tail_replays_a_planned_batch_after_a_rotation(tmp_path):
+    path = tmp_path / "a"
+    path.write_bytes(b"1\n2\n3\n")
+    reader = tail.AlertTailReader(str(path), True)
+    start, end = reader.initialOffset(), reader.latestOffset()
+    planned = reader.partitions(start, end)
+    path.rename(tmp_path / "a.1")
+    path.write_bytes(b"4\n")
+    assert _lines(reader, planned) == _lines(reader, reader.partitions(start, end)) == [b"1", b"2", b"3"]
+    assert _lines(reader, reader.partitions(end, reader.latestOffset())) == [b"4"]
+
+
+def test_tail_reads_files_of_two_rotations_and_misses_none(tmp_path):
+    path = tmp_path / "a"
+    path.write_bytes(b"1\n")
+    reader = tail.AlertTailReader(str(path), True)
+    start = reader.latestOffset()
+    for number, text in ((1, b"2\n"), (2, b"3\n4\n")):
+        path.rename(tmp_path / f"a.{number}")
+        path.write_bytes(text)
+        os.utime(path, ns=(0, os.stat(tmp_path / f"a.{number}").st_mtime_ns + 1_000_000))
+    end = reader.latestOffset()
+    assert _lines(reader, reader.partitions(start, end)) == [b"2", b"3", b"4"]
+    (tmp_path / "a.2").rename(tmp_path / "a.2.gz")
+    with pytest.raises(FileNotFoundError):
+        reader.partitions(start, end)
+    (tmp_path / "elsewhere").mkdir()
+    (tmp_path / "a.1").rename(tmp_path / "elsewhere" / "a.1")
+    with pytest.raises(FileNotFoundError):
+        reader.partitions(start, end)
+
+
+def test_open_and_stored_intervals_together_are_all(spark):
+    schema = "k string, interval_start int, n int"
+    stored = spark.createDataFrame([("a", 1, 5), (None, 1, 6)], schema)
+    every = spark.createDataFrame([("a", 1, 5), (None, 1, 6), ("a", 2, 7), (None, 2, 8)], schema)
+    assert sorted(telemetry_stream.completed(stored, every, ["k"]).collect(), key=str) == sorted(every.collect(), key=str)

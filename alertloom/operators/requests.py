@@ -42,33 +42,60 @@ def is_allowed(address: Column, networks: Sequence[str]) -> Column:
     return net.in_networks(address, readable)
 
 
-def _prefix(address: Column, length: Column) -> Column:
-    """Network key of an IPv4 number: ``length:leading bits``."""
-    return F.concat_ws(":", length.cast("string"), F.call_function("shiftright", address, (32 - length).cast("int")))
+def _numbered(rows: DataFrame, text: Column) -> DataFrame:
+    """Adds ``_n`` (IPv4 number), ``_hex`` (IPv6 digits) and ``_family`` of an address; other rows go."""
+    rows = rows.withColumns({"_n": net.ipv4_number(text), "_hex": net.ipv6_hex(text)})
+    family = F.when(F.col("_n").isNotNull(), 4).when(F.col("_hex").isNotNull(), 6)
+    return rows.withColumn("_family", family).where(F.col("_family").isNotNull())
+
+
+def _prefix() -> Column:
+    """Network key of ``_n`` or ``_hex``: ``family:length:leading bits``."""
+    length = F.col("_length")
+    four = F.call_function("shiftright", F.col("_n"), 32 - length).cast("string")
+    whole = F.floor(length / 4).cast("int")
+    digit = F.conv(F.substr("_hex", whole + 1, F.lit(1)), 16, 10).cast("int")
+    last = F.when(length % 4 > 0, F.call_function("shiftright", digit, 4 - length % 4).cast("string")).otherwise("")
+    six = F.concat_ws(".", F.substr("_hex", F.lit(1), whole), last)
+    return F.concat_ws(":", F.col("_family"), length, F.when(F.col("_family") == 4, four).otherwise(six))
+
+
+def _keys_of_networks(networks: DataFrame) -> DataFrame:
+    """``_family``, ``_length`` and ``_key`` of the readable networks, each once."""
+    parts = F.split("network", "/")
+    rows = _numbered(networks.where(F.size(parts) <= 2).select(parts.alias("_parts")), F.col("_parts")[0])
+    stated = F.try_element_at("_parts", F.lit(2))
+    longest = F.when(F.col("_family") == 4, 32).otherwise(128)
+    # A mask has its ones in front, or all of them at the end.
+    mask = net.ipv4_number(stated)
+    rest = F.lit(2**32 - 1) - mask
+    by_mask = F.when(rest.bitwiseAND(rest + 1) == 0, 32 - F.bit_count(rest)).when(
+        mask.bitwiseAND(mask + 1) == 0, 32 - F.bit_count(mask)
+    )
+    length = (
+        F.when(stated.isNull(), longest)
+        .when(stated.rlike(r"^[0-9]{1,9}\z"), stated.try_cast("int"))
+        .when(F.col("_family") == 4, by_mask)
+    )
+    rows = rows.withColumn("_length", length.cast("int")).where(F.col("_length").between(0, longest))
+    return rows.select("_family", "_length", _prefix().alias("_key")).distinct()
 
 
 def allowed_by_table(requests: DataFrame, networks: DataFrame, address: str) -> DataFrame:
-    """Mark requests whose IPv4 address lies in a network of a large table: ``allowed``.
-
-    ``networks``: ``network`` as ``a.b.c.d/len``.  The distinct addresses are
-    expanded to one key per prefix length and matched by equality, so neither a
-    range comparison of all pairs nor a broadcast of unknown size is needed.
+    """Mark requests whose address lies in a network of a large table: ``allowed``.
+
+    ``networks``: ``network`` as an IPv4 or IPv6 address with or without a prefix
+    length, or an IPv4 one with a mask.  The distinct addresses are expanded to one
+    key per prefix length that occurs (162 at most) and matched by equality, so
+    neither a range comparison of all pairs nor a broadcast of unknown size is
+    needed.  An unreadable network matches no one, as at the end of the list form;
+    an empty table allows no one.
     """
-    parts = F.split("network", "/")
-    stated = F.try_element_at(parts, F.lit(2))
-    # A network whose length is not a number matches no one, and does not end the job.
-    length = F.when(stated.isNull(), F.lit(32)).otherwise(stated.try_cast("int"))
-    number = net.ipv4_number(parts[0])
-    keys = networks.where(number.isNotNull() & length.between(0, 32)).select(_prefix(number, length).alias("_key"))
-    addresses = requests.select(F.col(address).alias("_address")).distinct()
-    lengths = F.explode(F.sequence(F.lit(0), F.lit(32)))
-    expanded = (
-        addresses.select("_address", net.ipv4_number(F.col("_address")).alias("_n"))
-        .where(F.col("_n").isNotNull())
-        .select("_address", "_n", lengths.alias("_length"))
-        .select("_address", _prefix(F.col("_n"), F.col("_length")).alias("_key"))
-    )
-    matched = expanded.join(keys.distinct(), "_key", "left_semi").select("_address").distinct()
+    keys = _keys_of_networks(networks)
+    lengths = keys.select("_family", "_length").distinct()
+    addresses = _numbered(requests.select(F.col(address).alias("_address")).distinct(), F.col("_address"))
+    expanded = addresses.join(F.broadcast(lengths), "_family").select("_address", _prefix().alias("_key"))
+    matched = expanded.join(keys.select("_key"), "_key", "left_semi").select("_address").distinct()
     marked = matched.select("_address", F.lit(True).alias("allowed"))
     return (
         requests.join(marked, F.col(address) == F.col("_address"), "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.functions import json_text, net, xmltext
@@ -134,6 +134,23 @@ def network_allowlist_table(spark, sf):
     return requests.allowed_by_table(log, networks, "peer").select("request_id", "allowed")
 
 
+def network_allowlist_mixed(spark, sf):
+    """A table of networks of both families: by mask, by prefix length, by host mask, and unreadable ones."""
+    k = F.col("s_suppkey")
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    network = (
+        F.when(k % 5 == 0, text("10.", k % 256, ".0.0/255.255.255.0"))
+        .when(k % 5 == 1, text("10.", k % 256, ".0.", (k * 16) % 256, "/28"))
+        .when(k % 5 == 2, text("2001:DB8::0:", k % 10, "/127"))
+        .when(k % 5 == 3, text("192.168.", k % 256, ".7/0.0.0.255"))
+        .otherwise(text("10.", k % 256, ".0.0/", F.when(k % 2 == 0, "abc").otherwise("255.0.255.0")))
+    )
+    networks = spark.read.parquet(f"{sf}/supplier.parquet").select(network.alias("network"))
+    log = inputs.access_log(spark, sf)
+    address = requests.client_address(F.col("x_forwarded_for"), F.col("x_real_ip"), F.col("peer"))
+    return requests.allowed_by_table(log.select("request_id", address.alias("client")), networks, "client")
+
+
 def _windows_rows(spark, sf):
     alert = F.col("alert")
     rows = dispatch.with_relevance(_alerts(spark, sf)).where("is_windows")
@@ -262,7 +279,7 @@ def outgoing_records(spark, sf):
 QUERIES = [
     alert_framing, line_size_guard, text_repair, strict_parse, quarantine_records, quarantine_retention, ingest_stats,
     keep_latest, keep_latest_per_source, discarded_counts, relevance_counts, windows_relevance, fail2ban_relevance,
-    alert_relevance, global_addresses, own_network_filter, network_allowlist, network_allowlist_table,
+    alert_relevance, global_addresses, own_network_filter, network_allowlist, network_allowlist_table, network_allowlist_mixed,
     windows_system_xml, event_data_xml, shutdown_user_data, log_cleared_user_data, xml_escaping, windows_messages,
     windows_rejections, syslog_severity, syslog_event_raw, syslog_messages, message_dispatch, client_address,
     message_values, kafka_records, send_failures, delivered_messages, acknowledgements, ack_lines, oversize_acks,

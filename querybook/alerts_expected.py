@@ -144,6 +144,14 @@ EXPECTED = {
         "SELECT request_id, event_id % 7 <> 0 AND EXISTS (SELECT 1 FROM nets WHERE nets.b = a.user_id % 256 "
         "AND a.event_id % 256 - a.event_id % 256 % 16 = nets.lo) AS allowed FROM access a"
     ),
+    "network_allowlist_mixed": _q(
+        ", n AS (SELECT s_suppkey AS k FROM supplier) SELECT request_id, client, CASE "
+        "WHEN client LIKE '10.%' THEN EXISTS (SELECT 1 FROM n WHERE k % 5 = 0 AND k % 256 = a.user_id % 256) OR EXISTS "
+        "(SELECT 1 FROM n WHERE k % 5 = 1 AND k % 256 = a.user_id % 256 AND (k * 16) % 256 = a.event_id % 256 - a.event_id % 256 % 16) "
+        "WHEN client LIKE '192.168.%' THEN EXISTS (SELECT 1 FROM n WHERE k % 5 = 3 AND k % 256 = a.user_id % 256) "
+        "WHEN client LIKE '2001:%' THEN EXISTS (SELECT 1 FROM n WHERE k % 5 = 2 AND k % 10 // 2 = a.event_id % 10 // 2) "
+        "ELSE false END AS allowed FROM access a"
+    ),
     "windows_system_xml": _q("SELECT e AS event_id, sx AS xml FROM sysx WHERE e % 29 <> 0"),
     "event_data_xml": _q("SELECT e AS event_id, ex AS xml FROM sysx WHERE wid NOT IN ('1100', '1102') AND has_data"),
     "shutdown_user_data": _q("SELECT e AS event_id, ux AS xml FROM sysx WHERE wid = '1100'"),

@@ -65,6 +65,22 @@ def test_allowlist_rules(spark):
     assert allowed(["10.0.0.0/8", "nonsense", "9.0.0.0/8"]) == [True, False, False]
 
 
+def test_network_table_is_the_list(spark):
+    readable = ["10.0.0.0/9", "192.168.4.9/255.255.254.0", "172.16.0.0/0.0.15.255", "9.9.9.9", "2001:db8::/33", "fe80::1:0/113", "::1"]
+    unreadable = ["1.0.0.0/abc", "2.0.0.0/255.0.255.0", "3.0.0.0/33", "4.0.0.0/8/8", "5.0.0.0/", "2002::/129", "2003::/255.0.0.0", "6.0.0.0/ 8", "x", ""]
+    addresses = [
+        "10.127.1.1", "10.128.0.0", "192.168.5.1", "192.168.6.0", "172.16.15.255", "172.16.16.0", "9.9.9.9", "9.9.9.8", "2001:db8:7fff::1",
+        "2001:db8:8000::", "fe80::1:7fff", "fe80::1:8000", "::1", "::2", "1.0.0.0", "2.0.0.0", "3.0.0.0", "4.0.0.0", "5.0.0.0", "6.0.0.0", "2002::", "2003::", "bad", "", None,
+    ]
+    df = spark.createDataFrame([(a,) for a in addresses], "a string")
+    networks = spark.createDataFrame([(n,) for n in [*readable, *unreadable, None]], "network string")
+    listed = {r[0]: r[1] for r in df.select("a", requests.is_allowed(F.col("a"), [*readable, *unreadable])).collect()}
+    assert {r.a: r.allowed for r in requests.allowed_by_table(df, networks, "a").collect()} == listed
+    assert sum(listed.values()) == 7
+    every = spark.createDataFrame([("0.0.0.0/0",), ("::/0",)], "network string")
+    assert sum(r.allowed for r in requests.allowed_by_table(df, every, "a").collect()) == len(addresses) - 3
+
+
 def test_client_address(spark):
     rows = [("1.1.1.1 , 2", "x", "p"), ("", " r ", "p"), (None, "", "p"), (None, None, ""), (" ,x", "r", "p")]
     df = spark.createDataFrame(rows, "f string, r string, p string")

@@ -240,9 +240,9 @@ def readiness(snapshots: DataFrame) -> DataFrame:
 
 
 def detailed_report(components: DataFrame, keys: list[str]) -> DataFrame:
-    """Report rows: one per section with totals and status, one per component below it.
+    """Report rows: one per snapshot and per section with totals and status, one per component below.
 
-    Input: ``kind``, ``name``, ``status``, ``is_healthy``, ``detail`` (JSON text).
+    The row of section ``snapshot`` has the overall status and score.  Input: ``kind``, ``name``, ``status``, ``is_healthy``, ``detail`` (JSON text).
     A section without components is HEALTHY.  Rows instead of one nested document
     keep a snapshot with very many components distributed.
     """
@@ -269,6 +269,9 @@ def detailed_report(components: DataFrame, keys: list[str]) -> DataFrame:
         F.when(F.col("section") == "worker", F.col("n.active")).alias("active"),
         F.lit(None).cast("string").alias("detail"),
     )
+    overall = overall_status(components, keys).select(
+        *keys, F.lit("snapshot").alias("section"), F.lit("").alias("name"), F.col("overall_status").alias("status"), "health_score"
+    )
     items = components.select(
         *keys,
         F.col("kind").alias("section"),
@@ -278,7 +281,7 @@ def detailed_report(components: DataFrame, keys: list[str]) -> DataFrame:
         F.lit(None).cast("bigint").alias("active"),
         "detail",
     )
-    return sections.unionByName(items)
+    return sections.unionByName(items).unionByName(overall, allowMissingColumns=True)
 
 
 # --- row validation ----------------------------------------------------------

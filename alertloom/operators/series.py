@@ -72,10 +72,11 @@ def trailing(
 ) -> DataFrame:
     """``name``: array of the last ``n`` values of the key, oldest first, the row's own last.
 
-    ``value`` must not be NULL; ``n`` is at least 2.
+    A NULL value is a value like others; ``n`` is at least 2.
     """
     inside = _inside(order)
-    rows = _chunked(df.withColumn("_value", value), keys, chunk_seconds)
+    # In a struct, a NULL value differs from a missing row, whatever chunk it is in.
+    rows = _chunked(df.withColumn("_value", F.struct(value.alias("v"))), keys, chunk_seconds)
     # Looking back n - 1 times costs less than collecting a list per row.
     earlier = [F.lag("_value", back).over(inside) for back in range(n - 1, 0, -1)]
     rows = rows.withColumn("_local", F.array_compact(F.array(*earlier, F.col("_value"))))
@@ -87,7 +88,7 @@ def trailing(
     last_n = F.slice(joined, F.greatest(F.size(joined) - (n - 1), F.lit(1)), F.lit(n))
     return (
         rows.join(carried, ["_key", "_chunk"])
-        .withColumn(name, F.when(F.size("_local") == n, F.col("_local")).otherwise(last_n))
+        .withColumn(name, F.when(F.size("_local") == n, F.col("_local")).otherwise(last_n).getField("v"))
         .drop("_value", "_local", "_carry", "_chunk", "_key")
     )
 
@@ -143,7 +144,8 @@ def throughput_cpu_correlation(
 ) -> DataFrame:
     """Per resource sample: sink throughput and CPU both above their mean of three, or at odds.
 
-    ``sink_samples``: keys, ``ts``, ``seq``, ``ops_per_sec``.
+    ``sink_samples``: keys, ``ts``, ``seq``, ``ops_per_sec``.  With an unknown sample
+    among the three there is neither.
     """
     sinks = trailing(sink_samples, keys, ["ts", "seq"], F.col("ops_per_sec"), 3, "_ops", chunk_seconds)
     rows = trailing(resources, keys, ["ts", "seq"], F.col("cpu_percent"), 3, "_cpu", chunk_seconds)
@@ -151,13 +153,14 @@ def throughput_cpu_correlation(
     last = lambda a: F.element_at(a, -1)
     enough = F.coalesce((F.size("_cpu") == 3) & (F.size("_ops") == 3), F.lit(False))
     ops_up, cpu_up = last("_ops") > mean(F.col("_ops")), last("_cpu") > mean(F.col("_cpu"))
+    known = lambda c: F.coalesce(c, F.lit(False))
     return rows.select(
         *keys,
         "ts",
         F.when(enough, last("_ops")).alias("ops_per_sec"),
         "cpu_percent",
-        (enough & ops_up & cpu_up).alias("correlated"),
-        (enough & ~ops_up & cpu_up & (F.col("cpu_percent") > 70)).alias("anomaly"),
+        known(enough & ops_up & cpu_up).alias("correlated"),
+        known(enough & ~ops_up & cpu_up & (F.col("cpu_percent") > 70)).alias("anomaly"),
     )
 
 
@@ -181,7 +184,7 @@ def memory_degradation(
         "ts",
         "rate",
         F.when(enough, F.element_at("_memory", -1)).alias("memory_percent"),
-        (enough & slower & fuller).alias("degraded"),
+        F.coalesce(enough & slower & fuller, F.lit(False)).alias("degraded"),
     )
 
 

@@ -2,8 +2,8 @@
 
 None of the tables is an alert log, so alert lines, telemetry, snapshots and
 request logs are spelled from whole tables here; the queries then run the real
-operators on them.  The expected results in ``expected.py`` are computed from
-the table columns, not from these texts.
+operators on them.  The expected results in ``alerts_expected.py`` and
+``telemetry_expected.py`` are computed from the table columns, not from these texts.
 """
 
 from __future__ import annotations
@@ -175,8 +175,7 @@ def queue_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host samples: host, ts, seq, cpu_percent, memory_percent."""
     e = F.col("event_id")
-    rows = events(spark, sf_dir).where(F.col("event_type") != "click")
-    return rows.select(
+    return events(spark, sf_dir).select(
         _text("h", F.col("user_id") % 3).alias("host"), "ts", e.alias("seq"),
         ((e * 37) % 1000 / 10.0).alias("cpu_percent"), ((e * 53) % 1000 / 10.0).alias("memory_percent"),
     )

@@ -239,7 +239,7 @@ def readiness(spark, sf):
 
 
 def detailed_report(spark, sf):
-    return health.detailed_report(inputs.components(spark, sf), ["snapshot_id"])
+    return _rounded(health.detailed_report(inputs.components(spark, sf), ["snapshot_id"]), "health_score")
 
 
 def prometheus_lines(spark, sf):
@@ -261,6 +261,46 @@ def row_validation(spark, sf):
     return checked.select("event_id", F.array_join("violations", ",").alias("violations"))
 
 
+def _violations(rows, kind):
+    return health.validated(rows, kind).select("event_id", F.array_join("violations", ",").alias("violations"))
+
+
+def worker_validation(spark, sf):
+    e, v = F.col("event_id"), F.col("value")
+    rows = inputs.events(spark, sf).select(
+        "event_id", F.when(e % 31 != 0, " w ").alias("worker_name"), (e % 40 - 1).alias("alerts_processed"),
+        v.alias("processing_rate"), v.alias("avg_processing_time"), (v - 1).alias("recent_avg_processing_time"),
+        v.alias("min_processing_time"), v.alias("max_processing_time"), (e % 3).alias("slow_alerts_count"),
+        (e % 50 - 2).alias("extremely_slow_alerts_count"), v.alias("last_processing_time"),
+        F.when(e % 7 != 0, "a").alias("last_alert_id"), (v / 100).alias("health_score"),
+    )
+    return _violations(rows, "worker")
+
+
+def system_validation(spark, sf):
+    e, v = F.col("event_id"), F.col("value")
+    rows = inputs.events(spark, sf).select(
+        "event_id", (e % 20).alias("process_id"), F.when(e % 31 != 0, "p").alias("process_name"), v.alias("cpu_percent"),
+        (e % 120).alias("memory_percent"), (v - 1).alias("memory_usage_mb"), (e % 9).alias("open_files_count"),
+        (e % 9 - 1).alias("max_open_files"), v.alias("uptime_seconds"), (e % 13).alias("threads_count"),
+    )
+    return _violations(rows, "system")
+
+
+def service_validation(spark, sf):
+    e = F.col("event_id")
+    rows = inputs.events(spark, sf).select(
+        "event_id", F.when(e % 31 != 0, "s").alias("service_name"), F.when(e % 6 != 0, e % 2 == 0).alias("is_healthy"),
+        F.when(e % 5 != 0, "HEALTHY").alias("status"),
+    )
+    return _violations(rows, "service")
+
+
+def snapshot_validation(spark, sf):
+    rows = inputs.events(spark, sf).select("event_id", (F.col("value") - 5).alias("health_score"))
+    return _violations(rows, "snapshot")
+
+
 def rate_limit(spark, sf):
     return requests.rate_limit(inputs.requests(spark, sf), LIMIT, WINDOW)
 
@@ -279,5 +319,5 @@ QUERIES = [
     history_retention, queue_fill_severity, slow_alert_severity, immediate_alerts, event_routing, worker_status,
     queue_status, service_status, system_status, overall_status, queue_health, worker_health, system_health,
     queue_summary, worker_summary, component_summary, quick_status, readiness, detailed_report, prometheus_lines,
-    row_validation, rate_limit, sender_intervals, slow_alert_quarantine, worker_intervals,
+    row_validation, worker_validation, system_validation, service_validation, snapshot_validation, rate_limit, sender_intervals, slow_alert_quarantine, worker_intervals,
 ]

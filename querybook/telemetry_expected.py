@@ -46,7 +46,7 @@ ov AS (
     CASE WHEN a > 0 THEN 0.0 WHEN b > 0 THEN 10.0 WHEN c > 0 THEN 20.0 WHEN d > 0 THEN greatest(score, 30.0)
          WHEN st THEN greatest(score, 40.0) ELSE score END::DOUBLE AS health_score
   FROM ov0),
-res AS (SELECT * FROM ev WHERE et <> 'click'),
+res AS (SELECT * FROM ev),
 clk AS (SELECT * FROM ev WHERE et = 'click')
 """
 
@@ -314,9 +314,10 @@ EXPECTED = {
     "detailed_report": _q(
         ", k AS (SELECT unnest(['system', 'worker', 'queue', 'service']) AS section), sn AS (SELECT DISTINCT snapshot_id FROM ch) "
         "SELECT sn.snapshot_id, k.section, '' AS name, CASE WHEN count(*) FILTER (NOT ok) = 0 THEN 'HEALTHY' ELSE 'DEGRADED' END AS status, "
-        "count(ch.e) AS total, CASE WHEN k.section = 'worker' THEN count(*) FILTER (ch.status = 'ACTIVE') END AS active, NULL::VARCHAR AS detail "
+        "count(ch.e) AS total, CASE WHEN k.section = 'worker' THEN count(*) FILTER (ch.status = 'ACTIVE') END AS active, NULL::VARCHAR AS detail, NULL::DOUBLE AS health_score "
         "FROM sn JOIN k ON true LEFT JOIN ch ON ch.snapshot_id = sn.snapshot_id AND ch.kind = k.section GROUP BY 1, 2 UNION ALL "
-        "SELECT snapshot_id, kind, name, status, NULL, NULL, '{\"id\": ' || e || '}' FROM ch"
+        "SELECT snapshot_id, kind, name, status, NULL, NULL, '{\"id\": ' || e || '}', NULL FROM ch UNION ALL "
+        "SELECT snapshot_id, 'snapshot', '', overall_status, NULL, NULL, NULL, round(health_score, 6) FROM ov"
     ),
     "prometheus_lines": _prometheus(),
     "row_validation": _q(
@@ -324,6 +325,25 @@ EXPECTED = {
         "CASE WHEN v > 100 THEN 'utilization_percentage' END, CASE WHEN e - 50 < 0 THEN 'total_processed' END, "
         "CASE WHEN v - 1 < 0 THEN 'avg_wait_time' END) AS violations FROM ev"
     ),
+    "worker_validation": _q(
+        "SELECT e AS event_id, concat_ws(',', CASE WHEN e % 31 = 0 THEN 'worker_name' END, CASE WHEN e % 40 = 0 THEN 'alerts_processed' END, "
+        "CASE WHEN v < 1 THEN 'recent_avg_processing_time' END, "
+        "CASE WHEN e % 50 < 2 THEN 'extremely_slow_alerts_count' END, CASE WHEN e % 7 = 0 THEN 'last_alert_id' END, "
+        "CASE WHEN v > 100 THEN 'health_score' END) AS violations FROM ev"
+    ),
+    "system_validation": _q(
+        "SELECT e AS event_id, concat_ws(',', CASE WHEN e % 20 = 0 THEN 'process_id' END, CASE WHEN e % 31 = 0 THEN 'process_name' END, "
+        "CASE WHEN v > 100 THEN 'cpu_percent' END, CASE WHEN e % 120 > 100 THEN 'memory_percent' END, "
+        "CASE WHEN v < 1 THEN 'memory_usage_mb' END, CASE WHEN e % 9 = 0 THEN 'max_open_files' END, "
+        "CASE WHEN e % 13 = 0 THEN 'threads_count' END) AS violations FROM ev"
+    ),
+    "service_validation": _q(
+        "SELECT e AS event_id, concat_ws(',', CASE WHEN e % 31 = 0 THEN 'service_name' END, CASE WHEN e % 6 = 0 THEN 'is_healthy' END, "
+        "CASE WHEN e % 5 = 0 THEN 'status' END) AS violations FROM ev"
+    ),
+    "snapshot_validation": _q(
+        "SELECT e AS event_id, concat_ws(',', CASE WHEN v < 5 OR v > 105 THEN 'health_score' END) AS violations FROM ev"
+    ),
     "slow_alert_quarantine": _q(
         "SELECT e AS seq, 'a' || e AS alert_id, 'slow_processing' AS reason FROM ev WHERE us > 3000000"
     ),
@@ -342,8 +362,5 @@ EXPECTED = {
     ),
 }
 
-# Intervals that the watermark, ten minutes behind the last row, has closed.
-INTERVAL_STREAM = _q(
-    "SELECT topic, interval_start, operations, slow_operations, max_us FROM iv "
-    "WHERE interval_start + INTERVAL 12 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE"
-)
+# Intervals that the watermark has closed, and those still open.
+INTERVAL_STREAM = _q("SELECT topic, interval_start, operations, slow_operations, max_us FROM iv")

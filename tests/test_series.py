@@ -46,6 +46,22 @@ def test_trailing_carry_and_count(samples):
             assert (got[seq].carried, got[seq].n, got[seq].last5) == (carried, n, last)
 
 
+def test_unknown_samples_do_not_depend_on_chunks(spark, samples):
+    rows, df = samples
+    found = []
+    for seconds in (1, 60, 10_000_000):
+        got = series.trailing(df, ["k"], ["ts", "seq"], F.col("v"), 3, "last3", seconds)
+        found.append({r.seq: r.last3 for r in got.collect()})
+    assert found[0] == found[1] == found[2]
+    for group in _by_key(rows).values():
+        for at, r in enumerate(group):
+            assert found[0][r[2]] == [v for *_, v in group[max(0, at - 2) : at + 1]]
+    resources = df.select("k", "ts", "seq", (F.col("v") * 10.0).alias("cpu_percent"))
+    sinks = df.select("k", "ts", "seq", (F.col("v") * 1.0).alias("ops_per_sec")).where("k IS NOT NULL")
+    by_chunk = [sorted(series.throughput_cpu_correlation(resources, sinks, ["k"], s).collect(), key=str) for s in (60, 100_000)]
+    assert by_chunk[0] == by_chunk[1] and all(r.correlated is not None and r.anomaly is not None for r in by_chunk[0])
+
+
 def test_series_without_keys(samples):
     rows, df = samples
     got = {r.seq: r.n for r in series.running_count(df, [], ["ts", "seq"], F.col("v").isNull(), "n", 60).collect()}

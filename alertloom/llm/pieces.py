@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from alertloom.llm.tables import Recent, slices
 
 # Encoded segments that a worker keeps: this many of late, and as many from before.
-CACHE_SEGMENTS = 500_000
+CACHE_SEGMENTS = 100_000
 SPACE = "▁"
 # Longest segment that is encoded and cached whole; longer ones are cut where the vocabulary allows.
 LONG_SEGMENT = 64

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Text handed to numpy or to a tokenizer at once, in bytes.
 SLICE_BYTES = 2_000_000
+# Longest key that a worker's cache keeps, in characters.
+LONGEST_KEPT = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +42,19 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 class Recent(dict):
-    """A cache of ``compute(key)`` that holds the last ``limit`` new keys and what was used of the ``limit`` before."""
+    """A cache of ``compute(key)`` that holds the last ``limit`` new keys and what was used of the ``limit`` before.
 
-    def __init__(self, compute: Callable, limit: int):
+    Keys longer than ``longest`` are computed each time, so that the size is bounded in bytes too.
+    """
+
+    def __init__(self, compute: Callable, limit: int, longest: int = LONGEST_KEPT):
         super().__init__()
+        self.longest = longest
         self.compute, self.limit, self.before = compute, limit, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.compute(key)
         value = self.before.get(key)
         if value is None:
             value = self.compute(key)

@@ -139,6 +139,19 @@ def canonical(records: DataFrame, record: str = "record", layouts: Sequence[Layo
     return marked.select(*rest, layout.alias("layout"), F.coalesce(clean, F.array()).alias("turns"))
 
 
+def turn_rows(records: DataFrame) -> DataFrame:
+    """The rows of ``canonical``, one per turn: their other columns, ``within`` (from 0), ``role`` and ``text``.
+
+    Records without turns have no rows.  An inner explode would let Catalyst infer a filter on
+    ``turns`` and push it below the parse, where it tests the fingerprint again for each layout.
+    """
+    rest = [c for c in records.columns if c not in ("turns", "within", "role", "text")]
+    rows = records.select(*[F.col(f"`{c}`") for c in rest], F.posexplode_outer("turns").alias("within", "__turn"))
+    return rows.where(F.col("within").isNotNull()).select(
+        *[F.col(f"`{c}`") for c in rest], "within", F.col("__turn")["role"].alias("role"), F.col("__turn")["text"].alias("text")
+    )
+
+
 _FIRST = "".join(sorted({c[0] for c in CONTROL}))
 _TAILS = "|".join(c[1:].replace("|", r"\|").replace("[", r"\[").replace("]", r"\]") for c in CONTROL)
 _INSIDE = rf"([{_FIRST.replace('[', chr(92) + '[')}])(\\*(?:{_TAILS}))"

@@ -40,8 +40,8 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     messages = [{"role": role, "content": TRICKY} for role in ("user", "assistant")]
     more = spark.createDataFrame([(-1, 0, json.dumps({"messages": messages}))], single.schema)
-    turns = chat.canonical(single.unionByName(more)).select("conv_id", "place", F.posexplode("turns").alias("within", "t"))
-    found = chat.read_back(chat.rendered(turns.select("conv_id", "place", "within", "t.role", "t.text")))
+    turns = chat.turn_rows(chat.canonical(single.unionByName(more)).drop("layout"))
+    found = chat.read_back(chat.rendered(turns))
     return chat.summaries(found, ["place", "within", "role", "text"])
 
 

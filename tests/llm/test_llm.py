@@ -349,6 +349,18 @@ def _record(layout):
     }[layout], [("user", a), ("assistant", b)]
 
 
+def test_turn_rows(spark):
+    """One row per turn, none of records without turns; the parsed record is looked at once."""
+    records = [(1, json.dumps({"role": "bot", "text": "a"})), (2, None), (3, "{"), (4, json.dumps({"messages": []})),
+               (5, json.dumps({"messages": [{"role": "user", "content": "b"}, {"role": None, "content": None}]}))]
+    rows = chat.turn_rows(chat.canonical(spark.createDataFrame(records, "k int, record string")))
+    assert {tuple(r) for r in rows.select("k", "within", "role", "text").collect()} == {
+        (1, 0, "assistant", "a"), (5, 0, "user", "b"), (5, 1, "", ""),
+    }
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1
+
+
 def test_layouts(spark):
     names = [x.name for x in chat.LAYOUTS if x.name not in ("turn_row", "instruction_input")]
     records = [(n, json.dumps(_record(n)[0])) for n in names]

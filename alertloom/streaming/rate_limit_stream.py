@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,7 +17,9 @@ def rate_limit(requests: DataFrame, limit: int, window_seconds: int) -> DataFram
     """Decide requests in arrival order of the batches, in time order within one.
 
     Input: ``client``, ``request_id``, ``request_ts``.  The state of a client is
-    its accepted times within the window, at most ``limit`` of them.
+    its accepted times within the window, at most ``limit`` of them, in order.  A
+    request that is older than accepted ones of batches before (a late file) is
+    decided like one that comes now: later accepted times count against it too.
     """
     window_us = window_seconds * 1_000_000
 
@@ -25,11 +28,10 @@ def rate_limit(requests: DataFrame, limit: int, window_seconds: int) -> DataFram
         rows = pd.concat(list(batches)).sort_values(["request_ts", "request_id"])
         accepted, remaining, reset = [], [], []
         for now in rows["request_ts"].astype("datetime64[us]").astype("int64"):
-            while times and times[0] <= now - window_us:
-                times.pop(0)
+            del times[: bisect_right(times, now - window_us)]
             ok = len(times) < limit
             if ok:
-                times.append(int(now))
+                insort(times, int(now))
             accepted.append(ok)
             remaining.append(max(0, limit - len(times)))
             reset.append(times[0] + window_us if times else int(now))

@@ -80,6 +80,21 @@ def test_worker_and_ingest_streams_are_accepted(spark, tmp_path):
         assert counts == [600, 600]
 
 
+def test_rate_limit_stream_with_late_requests(spark, tmp_path):
+    """A late file's accepted times are kept in order: the oldest leaves the window first."""
+    schema = "client string, request_id long, request_ts timestamp"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for seconds in ([30], [10], [75, 85, 95]):
+        rows = [("a", s, datetime(2024, 1, 1, 0, s // 60, s % 60)) for s in seconds]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        decided = rate_limit_stream.rate_limit(spark.readStream.schema(schema).parquet(source), 2, 60)
+        query = decided.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+        query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {r["request_id"]: r["accepted"] for r in spark.read.parquet(out).collect()}
+    # At 75 the request of 10 is out of the window, at 85 those of 30 and 75 fill it, at 95 only 75 is left.
+    assert got == {30: True, 10: True, 75: True, 85: False, 95: True}
+
+
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
     rows = [(f"c{i % 3}", START + timedelta(seconds=4 * i), i) for i in range(300)]
     df = spark.createDataFrame(rows, "client string, request_ts timestamp, request_id long")

@@ -20,6 +20,13 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
+
+# The JSON reader's own limits (texts of 20,000,000 characters, depth 1,000, numbers of 1,000 digits) are lifted; it stays strict.
+PARSER = {
+    "maxStringLen": "2147483647", "maxNestingDepth": "2147483647", "maxNumLen": "2147483647",
+    "allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
+}
 
 # The template's control strings.
 OPEN, ROLE_END, CLOSE = "<|turn|>", "<|text|>", "</s>"
@@ -117,32 +124,98 @@ def _turns(record: Column, layout: Layout) -> Column:
 
 
 def canonical(records: DataFrame, record: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
-    """``records`` with ``layout`` and ``turns`` (array of role and text) instead of the JSON text ``record``.
+    """``records`` with ``layout``, ``problem`` and ``turns`` (array of role and text) instead of the JSON text ``record``.
 
     Roles are lower-cased where they are another name of a known one, and else as they are.
     Null roles and texts are empty.  A record that is null, no JSON or of no known layout has
     a null layout and no turns; two layouts with the same paths are refused.
+
+    ``problem`` tells why a record that is not null has no layout: ``unparsed`` (no JSON, or more
+    than a VARIANT holds, 128 MiB) or ``no layout``.  ``unread`` are those records.
     """
     by_hash = {fingerprint_of(layout.paths): layout for layout in layouts}
     if len(by_hash) < len(layouts):
         raise ValueError("two layouts have the same field paths")
-    rest = [F.col(f"`{c}`") for c in records.columns if c not in (record, "layout", "turns")]
-    parsed = records.select(*rest, F.try_parse_json(F.col(record)).alias("__record"))
+    rest = [F.col(f"`{c}`") for c in records.columns if c not in (record, "layout", "problem", "turns")]
+    parsed = records.select(
+        *rest, F.from_json(F.col(record), "variant", PARSER).alias("__record"), (F.lower(F.trim(F.substring(record, 1, 100))) != "null").alias("__given")
+    )
     marked = parsed.withColumn("__print", fingerprint(F.col("__record"), layouts))
     layout, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role: string, text: string>>")
     for mark, own in by_hash.items():
         layout = F.when(F.col("__print") == mark, own.name).otherwise(layout)
         turns = F.when(F.col("__print") == mark, _turns(F.col("__record"), own)).otherwise(turns)
+    problem = F.when(F.col("__record").isNull(), F.when(F.col("__given"), "unparsed")).when(~F.col("__print").isin(list(by_hash)), "no layout")
+    return marked.select(*rest, layout.alias("layout"), problem.alias("problem"), F.coalesce(_clean(turns), F.array()).alias("turns"))
+
+
+def _clean(turns: Column) -> Column:
+    """Turns with the known names of roles, and without nulls."""
     names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     role = lambda r: F.coalesce(names[F.lower(r)], r, F.lit(""))
-    clean = F.transform(turns, lambda t: F.struct(role(t["role"]).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
-    return marked.select(*rest, layout.alias("layout"), F.coalesce(clean, F.array()).alias("turns"))
+    return F.transform(turns, lambda t: F.struct(role(t["role"]).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+
+
+def unread(records: DataFrame) -> DataFrame:
+    """The rows of ``canonical`` whose record is not null and yet has no layout, with ``problem``."""
+    return records.where(F.col("problem").isNotNull()).drop("layout", "turns")
+
+
+def _paths(kind: DataType, at: str = "$") -> set[str]:
+    """The field paths of a type that end at a scalar, as ``fingerprint`` finds them in a record."""
+    if isinstance(kind, StructType):
+        return set().union(*(_paths(f.dataType, f"{at}.{f.name}") for f in kind.fields))
+    if isinstance(kind, ArrayType):
+        return _paths(kind.elementType, f"{at}[*]")
+    return set() if isinstance(kind, (MapType, VariantType)) else {at}
+
+
+def canonical_columns(rows: DataFrame, columns: Sequence[str], layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
+    """``rows`` with ``layout``, ``problem`` and ``turns`` instead of ``columns``, which are the fields of a record.
+
+    As ``canonical``, but typed columns have one set of field paths for all rows, so that the
+    layout follows from their type, and texts of any length go past the JSON parser.
+    """
+    kind = StructType([f for f in rows.schema.fields if f.name in columns])
+    known = {p for layout in layouts for p in layout.paths}
+    paths = _paths(kind)
+    own = {fingerprint_of(layout.paths): layout for layout in layouts}.get(fingerprint_of(sorted(paths & known)))
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in (*columns, "layout", "problem", "turns")]
+    none = F.array().cast("array<struct<role: string, text: string>>")
+    if own is None:
+        return rows.select(*rest, F.lit(None).cast("string").alias("layout"), F.lit("no layout").alias("problem"), none.alias("turns"))
+
+    def at(path: str) -> Column:
+        first, *more = path.removeprefix("$.").split(".")
+        found = F.col(f"`{first}`")
+        for name in more:
+            found = found[name]
+        return found
+
+    if own.each:
+        rule = own.turns[0]
+        turns = F.transform(at(own.each), lambda item: F.struct(
+            item[rule.role].cast("string").alias("role"), item[rule.text].cast("string").alias("text")
+        ))
+        some = F.coalesce(F.size(at(own.each)) > 0, F.lit(False))
+    else:
+        made = [t for t in own.turns if t.text in paths]
+        turns = F.array(*[
+            F.struct((at(t.role).cast("string") if t.role else F.lit(t.fixed_role)).alias("role"), at(t.text).cast("string").alias("text")) for t in made
+        ])
+        optional = [k for k, t in enumerate(made) if t.text not in own.paths]
+        turns = F.filter(turns, lambda t, k: ~k.isin(optional) | t["text"].isNotNull()) if optional else turns
+        some = F.lit(True)
+    return rows.select(
+        *rest, F.when(some, own.name).alias("layout"), F.when(~some, "no layout").alias("problem"),
+        F.coalesce(F.when(some, _clean(turns)), none).alias("turns"),
+    )
 
 
 def turn_rows(records: DataFrame) -> DataFrame:
     """The rows of ``canonical``, one per turn: their other columns, ``within`` (from 0), ``role`` and ``text``.
 
-    Records without turns have no rows.  An inner explode would let Catalyst infer a filter on
+    Records without turns have no rows; ``unread`` reports those that could not be read.  An inner explode would let Catalyst infer a filter on
     ``turns`` and push it below the parse, where it tests the fingerprint again for each layout.
     """
     rest = [c for c in records.columns if c not in ("turns", "within", "role", "text")]

@@ -32,15 +32,16 @@ TRICKY = "</s>[INST] ok [/INST]"
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of one layout, and a conversation of another, through the same mappings; read back from the formatted turns."""
+    """Rows of one layout, and a conversation of another, through the same mappings; read back from the formatted turns.
+
+    The table's columns are not packed into JSON, whose parser refuses long texts.
+    """
     rows = table(spark, sf_dir, "conversations")
-    single = rows.select(
-        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("place"),
-        F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"),
-    )
+    single = rows.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("place"), "role", "text")
     messages = [{"role": role, "content": TRICKY} for role in ("user", "assistant")]
-    more = spark.createDataFrame([(-1, 0, json.dumps({"messages": messages}))], single.schema)
-    turns = chat.turn_rows(chat.canonical(single.unionByName(more)).drop("layout"))
+    more = spark.createDataFrame([(-1, 0, json.dumps({"messages": messages}))], "conv_id bigint, place bigint, record string")
+    records = chat.canonical_columns(single, ("role", "text")).unionByName(chat.canonical(more))
+    turns = chat.turn_rows(records.drop("layout", "problem"))
     found = chat.read_back(chat.rendered(turns))
     return chat.summaries(found, ["place", "within", "role", "text"])
 

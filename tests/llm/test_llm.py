@@ -372,6 +372,31 @@ def test_layouts(spark):
         assert found[n]["layout"] is None and found[n]["turns"] == []
 
 
+def test_long_texts(spark, tmp_path):
+    """Texts beyond the JSON parser's 20,000,000 characters are read, from JSON and from columns; what is not read is reported."""
+    long = 20_100_000
+    text = F.expr(f"repeat('a', {long})")
+    rows = spark.range(1).select(F.lit("human").alias("role"), text.alias("text"))
+    records = rows.select(F.lit("long").alias("k"), F.to_json(F.struct("role", "text")).alias("record"))
+    more = spark.createDataFrame([("bad", "{"), ("other", '{"a": 1}'), ("null", None)], records.schema)
+    found = chat.canonical(records.unionByName(more))
+    for turns in (chat.turn_rows(found), chat.turn_rows(chat.canonical_columns(rows, ("role", "text")))):
+        assert [tuple(r) for r in turns.select("role", F.length("text")).collect()] == [("user", long)]
+    assert {(r["k"], r["problem"]) for r in chat.unread(found).collect()} == {("bad", "unparsed"), ("other", "no layout")}
+    table = spark.range(1).select(F.lit(7).alias("conv_id"), F.lit(0).alias("turn"), F.lit("gpt").alias("role"), text.alias("text"))
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r["conv_id"]: r["loss_chars"] for r in QUERIES["op3_chat_formatting"](spark, str(tmp_path)).collect()} == {7: long, -1: len(TRICKY)}
+
+
+def test_columns_and_json_agree(spark):
+    for name in (x.name for x in chat.LAYOUTS if x.name not in ("turn_row", "instruction_input")):
+        record = json.dumps(_record(name)[0])
+        schema = spark.range(1).select(F.schema_of_json(F.lit(record))).first()[0]
+        rows = spark.createDataFrame([(record,)], "record string").select(F.from_json("record", schema).alias("r")).select("r.*")
+        found = chat.canonical_columns(rows, rows.columns).first()
+        assert (found["layout"], [tuple(t) for t in found["turns"]]) == (name, _record(name)[1])
+
+
 def test_template_is_reversible(spark):
     rng, signs = random.Random(4), ["<", "</s>", "<s>", "[INST]", "[/INST]", "\\", "<|turn|>", "<|text|>", "a", "\n", "s>", "|", "é"]
     rows = [(k, rng.choice(["user", "assistant", "<|text|>", ""]), "".join(rng.choices(signs, k=rng.randrange(12)))) for k in range(400)]

@@ -2,7 +2,8 @@
 
 Pivots are a bounded sample of the vectors.  A vector is represented by its ``LENGTH``
 nearest pivots in order and posted in the inverted file of each of them.  A query reads
-the files of its own nearest pivots; what is in them is ranked by Spearman's footrule
+the files of its own nearest pivots, a fixed share of all, so that the share of the vectors
+that it meets does not shrink as pivots grow; what is in them is ranked by Spearman's footrule
 between the two orders, and the nearer half is reranked by exact inner product.
 
 Files and queries meet by a shuffle on the pivot; a large file is split into parts, and
@@ -27,6 +28,8 @@ NEAREST = 20
 QUERY_STEP = 20
 # Nearest pivots that represent a vector.
 LENGTH = 20
+# Share of the pivots whose files a query reads, LENGTH at least.
+READ_SHARE = 1 / 9
 # Pivots per square root of the number of vectors, and the most there are (at 1,024 dimensions 128 MB).
 PIVOTS_PER_ROOT = 0.8
 MAX_PIVOTS = 16_384
@@ -61,14 +64,13 @@ def _places(orders: np.ndarray, pivots: int) -> np.ndarray:
     return places
 
 
-def footrule(place: np.ndarray, orders: np.ndarray) -> np.ndarray:
-    """Footrule distance from a query (its places) to each of ``orders``, less a constant.
+def footrule(place: np.ndarray, orders: np.ndarray, length: int) -> np.ndarray:
+    """Footrule distance from a query (its places in an order of ``length``) to each of ``orders``, less a constant.
 
-    A pivot that is missing from an order counts as being at its end.  Only pivots in both
-    orders bring two orders nearer to each other, by twice their places' distance from the end.
+    A pivot that is missing from an order counts as being at place ``length``.  Only pivots in both
+    orders bring two orders nearer to each other, by twice their places' distance from there.
     """
-    length = orders.shape[1]
-    later = np.maximum(place[orders], np.arange(length, dtype=np.int32)[None, :])
+    later = np.maximum(place[orders], np.arange(orders.shape[1], dtype=np.int32)[None, :])
     return -2 * (length - later).sum(axis=1)
 
 
@@ -84,19 +86,20 @@ def _distinct(vectors: DataFrame, nearest: int) -> tuple[DataFrame, DataFrame]:
     return rows, few.groupBy("key").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"), F.any_value("vector").alias("vector"))
 
 
-def _posted(distinct: DataFrame, pivots: np.ndarray, length: int) -> DataFrame:
-    """``distinct`` with ``order``: the nearest pivots of each vector."""
+def _posted(distinct: DataFrame, pivots: np.ndarray, length: int, read: int) -> DataFrame:
+    """``distinct`` with ``order``: the nearest pivots of each vector, and ``reads``: more of them, for queries only."""
     shared = distinct.sparkSession.sparkContext.broadcast(pivots)
 
     def order(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for at in range(0, part.num_rows, 1024):
                 some = part.slice(at, 1024)
-                found = _orders(_matrix(some.column("vector"), np.float64), shared.value, length)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), length).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*some.columns, lists], [*some.schema.names, "order"])
+                found = _orders(_matrix(some.column("vector"), np.float64), shared.value, read)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(found[:, :length].ravel()), length).cast(pa.list_(pa.int32()))
+                reads = pa.array([f if asked else None for f, asked in zip(found, some.column("asked").to_pylist())], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*some.columns, lists, reads], [*some.schema.names, "order", "reads"])
 
-    schema = "key string, ids array<bigint>, vector array<double>, asked boolean, `order` array<int>"
+    schema = "key string, ids array<bigint>, vector array<double>, asked boolean, `order` array<int>, reads array<int>"
     return distinct.select("key", "ids", "vector", "asked").mapInArrow(order, schema)
 
 
@@ -105,14 +108,15 @@ def _search(pivots: int, nearest: int):
 
     def best(queries: pa.RecordBatch, keys: np.ndarray, vectors: np.ndarray, orders: np.ndarray) -> pa.RecordBatch:
         asked = _matrix(queries.column("vector"), np.float64)
-        places = _places(_matrix(queries.column("order"), np.int32), pivots)
+        own = _matrix(queries.column("order"), np.int32)
+        places = _places(own, pivots)
         scores = asked @ vectors.T
         keep = max(LEAST_RERANKED, int(len(keys) * RERANKED))
         out_query, out_key, out_score = [], [], []
         for k, name in enumerate(queries.column("key").to_pylist()):
             near = np.arange(len(keys))
             if len(keys) > keep:
-                near = np.argpartition(footrule(places[k], orders), keep - 1)[:keep]
+                near = np.argpartition(footrule(places[k], orders, own.shape[1]), keep - 1)[:keep]
             if len(near) > nearest + 8:
                 near = near[np.argpartition(-scores[k, near], nearest + 7)[: nearest + 8]]
             # Summed in one fixed way, whatever block a pair was met in.
@@ -170,15 +174,17 @@ def nearest_neighbours(vectors: DataFrame, step: int = QUERY_STEP, nearest: int
     pivots = np.array([r["vector"] for r in distinct.orderBy("key").limit(max(1, wanted)).select("vector").collect()])
     if len(pivots):
         pivots = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
-    posted = checkpointed(_posted(distinct, pivots, length))
-    posts = posted.select(F.explode("order").alias("pivot"), F.col("ids")[0].alias("first_id"), "key", "vector", "order", "asked")
+    read = max(length, round(READ_SHARE * len(pivots)))
+    posted = checkpointed(_posted(distinct, pivots, length, read))
     sizes = posted.select(F.explode("order").alias("pivot")).groupBy("pivot").agg(
         F.ceil(F.count(F.lit(1)) / PART_POSTINGS).cast("int").alias("parts")
     )
-    posts = posts.join(F.broadcast(sizes), "pivot")
+    posts = lambda rows, order: rows.select(
+        F.explode(order).alias("pivot"), F.col("ids")[0].alias("first_id"), "key", "vector", F.col(order).alias("order")
+    ).join(F.broadcast(sizes), "pivot")
     cell = lambda part, query: ["pivot", part.cast("int").alias("part"), F.lit(query).alias("query"), "key", "first_id", "vector", "order"]
-    files = posts.select(*cell(F.pmod(F.xxhash64("key"), F.col("parts")), 0))
-    queries = posts.where("asked").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*cell(F.col("part"), 1))
+    files = posts(posted, "order").select(*cell(F.pmod(F.xxhash64("key"), F.col("parts")), 0))
+    queries = posts(posted.where("asked"), "reads").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*cell(F.col("part"), 1))
     cells = files.unionByName(queries).repartition("pivot", "part").sortWithinPartitions("pivot", "part", "query")
     met = cells.mapInArrow(_search(len(pivots), nearest), "asker string, first_id bigint, score double")
     ranked = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")

@@ -438,6 +438,20 @@ def test_few_vectors(spark):
     assert sorted(r["vec_id"] for r in found) == [1, 2, 3, 4]
 
 
+def test_queries_read_a_share_of_the_files(spark, monkeypatch):
+    """With many pivots to a vector's length, a query still meets what is near to it."""
+    monkeypatch.setattr(ann, "LENGTH", 3)
+    monkeypatch.setattr(ann, "PIVOTS_PER_ROOT", 3)
+    base = np.random.default_rng(8).normal(size=(3000, 16))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(base)], "vec_id bigint, embedding array<double>")
+    found: dict[int, set] = {}
+    for r in ann.nearest_neighbours(frame, step=60).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(found.get(q, set()) & set(np.argsort(-(base @ base[q]))[1:21].tolist())) for q in range(0, 3000, 60))
+    assert hits >= 0.9 * 20 * 50
+
+
 # Everything
 
 

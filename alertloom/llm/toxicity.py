@@ -6,9 +6,9 @@ be a separator that stands for nothing, or repeat the letter before.  Viterbi de
 under a trigram model of characters picks the likeliest letters.  The restored text is
 scored by a logistic regression over hashed words and word beginnings.
 
-The character model and the regression are fitted on a bounded sample of rows
-(``SAMPLE_ROWS``) chosen by a hash of the id.  Both are small and broadcast; scoring is a
-map over whole texts.
+The character model counts the words of all texts.  The regression is fitted on a bounded
+sample of labelled rows (``SAMPLE_ROWS``) chosen by a hash of the id.  Both are small and
+broadcast; scoring is a map over whole texts.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from alertloom.llm.language import learnable
 from alertloom.llm.tables import Recent, checkpointed, slices
 
-# Rows that the models are fitted on, about; all if there are fewer.
+# Rows that the regression is fitted on, about; all if there are fewer.
 SAMPLE_ROWS = 20_000
 BUCKETS = 1 << 18
 # Features that the regression may use, and the evidence (G-test) that each needs.
@@ -43,6 +43,8 @@ THRESHOLD = 0.3
 # Longest token that is decoded, and longest run of single characters.
 LONGEST = 64
 CACHE_TOKENS = 400_000
+# Distinct words that a worker holds before it spells them.
+HELD_WORDS = 100_000
 # Lengths of word beginnings that are features besides whole words.
 BEGINNINGS = (5, 6, 7)
 
@@ -65,6 +67,17 @@ _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+] ){3,}[\w@$!|+](?!\S)")
 
 
+# Signs of scripts without an alphabet (ideographs, Yi, Hangul syllables), which count as one letter
+# in the model, so that the trigrams are bounded by the alphabets.
+_NO_ALPHABET = re.compile("[\u3400-\u9fff\ua000-\ua4cf\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff]")
+_IDEOGRAPH = "\u4e00"
+
+
+def plain(word: str) -> str:
+    """``word`` with one sign for all signs of scripts without an alphabet."""
+    return word if word.isascii() else _NO_ALPHABET.sub(_IDEOGRAPH, word)
+
+
 class Characters:
     """A trigram model of characters: interpolated with bigrams and single characters."""
 
@@ -86,7 +99,8 @@ class Characters:
         return {}
 
     def log(self, before: str, letter: str) -> float:
-        gram = before + letter
+        gram = plain(before + letter)
+        before, letter = gram[:2], gram[2:]
         found = self.known.get(gram)
         if found is None:
             one = (self.one.get(letter, 0) + 0.1) / self.total
@@ -217,25 +231,33 @@ def _drawn(known: DataFrame, limit: int) -> Column:
 
 
 def character_model(texts: DataFrame) -> Characters:
-    """A model of the words of ``texts`` that consist of letters."""
+    """A model of the words of ``texts`` that consist of letters; all trigrams of their alphabets are counted."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: Counter[str] = Counter()
-        for part in slices(parts, "text"):
-            words = Counter(w.strip(_AROUND) for t in part.column("text").to_pylist() for w in (t or "").lower().split())
-            for word, n in words.items():
-                if word.isalpha() and len(word) <= LONGEST:
-                    padded = f"^^{word}$"
+        words: Counter[str] = Counter()
+
+        def spelled() -> None:
+            for token, n in words.items():
+                word = token.strip(_AROUND)
+                if word.isalpha():
+                    padded = f"^^{plain(word)}$"
                     for k in range(len(padded) - 2):
                         grams[padded[k : k + 3]] += n
+            words.clear()
+
+        for part in slices(parts, "text"):
+            for text in part.column("text").to_pylist():
+                words.update((text or "").lower().split())
+            if len(words) > HELD_WORDS:
+                spelled()
+        spelled()
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"]
         )
 
     counted = texts.select("text").mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    # The most frequent trigrams, a few megabytes at most.
-    top = counted.orderBy(F.desc("n"), "gram").limit(100_000).collect()
-    return Characters({r["gram"]: r["n"] for r in top})
+    return Characters({r["gram"]: r["n"] for r in counted.collect()})
 
 
 def _chosen(toxic: np.ndarray, clean: np.ndarray, toxic_rows: int, clean_rows: int) -> list[int]:
@@ -286,7 +308,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model
     # Drawn on both sides before they meet, so that the texts of all other rows do not shuffle; read once.
     drawn = _drawn(known, limit)
     sample = checkpointed(texts.where(drawn).join(known.where(drawn), "doc_id").select("toxic", "text"))
-    characters = character_model(sample)
+    characters = character_model(texts)
     shared = docs.sparkSession.sparkContext.broadcast(characters)
 
     name = uuid.uuid4().hex

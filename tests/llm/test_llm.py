@@ -327,6 +327,13 @@ def test_toxic_words_in_disguise(spark, toxic_model):
     assert restored[6] == "idiot" and restored[8] == "stupid"
 
 
+def test_characters_of_all_texts(spark):
+    """Words of unlabelled rows are in the character model, whatever the sample; ideographs are one letter."""
+    docs = _docs(spark, [(1, "the and", "en", "s"), (2, "the", "en", "s"), (3, "\u0436\u0443\u043a \u6f22\u5b57", "ru", "s"), (4, "x" * 70, "en", "s")])
+    model = toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int"), limit=1).characters
+    assert model.three["^\u0436\u0443"] == 1 and model.three["^\u4e00\u4e00"] == 1 and model.three["xxx"] == 68
+
+
 def test_toxicity_without_labels(spark, docs):
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert toxicity.scored(docs, model).select("score").distinct().count() == 1

@@ -2,8 +2,10 @@
 
 A token that may be disguised (letters mixed with look-alike signs, single letters set
 apart, letters repeated) is a lattice: each observed sign may stand for several letters,
-be a separator that stands for nothing, or repeat the letter before.  Viterbi decoding
-under a trigram model of characters picks the likeliest letters.  The restored text is
+be a separator that stands for nothing or for a word boundary, or repeat the letter before.
+Viterbi decoding under a trigram model of characters picks the likeliest letters; they are
+read as one word, split at separators, and split where the model has word boundaries on any
+path that is about as likely as the best.  The restored text is
 scored by a logistic regression over hashed words and word beginnings.
 
 The character model counts the words of all texts.  The regression is fitted on a bounded
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import math
+import os
 import re
 import string
 import uuid
@@ -40,8 +43,12 @@ LEAST_EVIDENCE = 15.0
 # Weight of the penalty on squared coefficients.
 PENALTY = 0.01
 THRESHOLD = 0.3
-# Longest token that is decoded, and longest run of single characters.
+# Longest word that is looked for inside decoded letters; the whole is read at any length.
 LONGEST = 64
+# Signs between two shortenings of the decoder's paths.
+WINDOW = 64
+# Words inside decoded letters count if the best path through them is at most so much less likely (log) than the best.
+MARGIN = 4.0
 CACHE_TOKENS = 400_000
 # Distinct words that a worker holds before it spells them.
 HELD_WORDS = 100_000
@@ -63,8 +70,11 @@ _AROUND = string.punctuation + "«»„“”’…¡¿"
 _NEVER_LETTERS = "".join(c for c in _AROUND if c not in LOOKS_LIKE)
 _LETTER = re.compile(r"[^\W\d_]")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-# Four or more single signs with blanks between; other separators leave one token.
-_SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+] ){3,}[\w@$!|+](?!\S)")
+# Four or more single signs with blanks between, and maybe other separators; without blanks they are one token.
+_SIGN = r"[\w@$!|+(€£¡][.\-_*~'/,:]*"
+_SPACED = re.compile(rf"(?<!\S)(?:{_SIGN}\s+){{3,}}{_SIGN}(?!\S)")
+# Where a token may be split: at signs that stand for no letter, and at all that are none.
+_SPLIT = (re.compile(r"[^\w@$!|+(€£¡]+|_+"), re.compile(r"[\W\d_]+"))
 
 
 # Signs of scripts without an alphabet (ideographs, Yi, Hangul syllables), which count as one letter
@@ -115,7 +125,8 @@ class Characters:
     def decoded(self, signs: str) -> str:
         """The likeliest letters for ``signs``; the state is the last two letters, ^ marks the start and $ the end."""
         paths: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-        for sign in signs:
+        done: list[str] = []
+        for place, sign in enumerate(signs, 1):
             after: dict[str, tuple[float, str]] = {}
             letters = [(sign, PLAIN)] if _LETTER.match(sign) else [(c, LOOK_ALIKE) for c in LOOKS_LIKE.get(sign, "")]
             for state, (score, text) in paths.items():
@@ -128,12 +139,46 @@ class Characters:
                     if new not in after or total > after[new][0]:
                         after[new] = (total, found)
             paths = after
-        return max((score + self.log(state, "$"), text) for state, (score, text) in paths.items())[1]
+            if place % WINDOW == 0:
+                # What all paths agree on is put aside, so that long input takes linear time.
+                done.append(os.path.commonprefix([text for _, text in paths.values()]))
+                paths = {state: (score, text[len(done[-1]):]) for state, (score, text) in paths.items()}
+        return "".join(done) + max((score + self.log(state, "$"), text) for state, (score, text) in paths.items())[1]
+
+    def words(self, letters: str, margin: float = MARGIN) -> tuple[list[str], set[str]]:
+        """The likeliest words that ``letters`` are written together from, and those on paths at most ``margin`` less likely."""
+        n = len(letters)
+        sums = [0.0, 0.0, 0.0]
+        for k in range(2, n):
+            sums.append(sums[-1] + self.log(letters[k - 2 : k], letters[k]))
+        one = [self.log("^^", c) for c in letters]
+        two = [self.log("^" + a, b) for a, b in zip(letters, letters[1:])]
+        end = [self.log(letters[k - 1 : k + 1] if k else "^" + letters[0], "$") for k in range(n)]
+
+        def own(i: int, j: int) -> float:
+            if j - i == 1:
+                return one[i] + self.log("^" + letters[i], "$")
+            return one[i] + two[i] + sums[j] - sums[i + 2] + end[j - 1]
+
+        ahead, back, start = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
+        for j in range(1, n + 1):
+            ahead[j], start[j] = max((ahead[i] + own(i, j), i) for i in range(max(0, j - LONGEST), j))
+        for i in range(n - 1, -1, -1):
+            back[i] = max(own(i, j) + back[j] for j in range(i + 1, min(n, i + LONGEST) + 1))
+        least = ahead[n] - margin
+        near = {
+            letters[i:j] for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1) if ahead[i] + own(i, j) + back[j] >= least
+        }
+        best, j = [], n
+        while j:
+            best.append(letters[start[j] : j])
+            j = start[j]
+        return best[::-1], near
 
 
 def suspicious(token: str) -> bool:
     """Whether a lower-case token without signs at its edges may be disguised."""
-    if len(token) > LONGEST or not _LETTER.search(token):
+    if not _LETTER.search(token):
         return False
     return not token.isalpha() and any(c in LOOKS_LIKE or c in SEPARATORS for c in token) or bool(_TRIPLE.search(token))
 
@@ -149,14 +194,27 @@ def _restored(token: str, characters: Characters | None) -> str:
     return token.strip(_AROUND)
 
 
-def _runs(low: str, tokens: list[str], characters: Characters | None) -> list[str]:
-    """Words that are spelled with blanks between their letters; long runs are decoded piece by piece."""
-    if characters is None or list(map(len, tokens)).count(1) < 4:
-        return []
-    return [
-        characters.decoded(run[k : k + 2 * LONGEST])
-        for run in _SPACED.findall(low) for k in range(0, len(run), 2 * LONGEST)
-    ]
+def _readings(token: str, characters: Characters | None) -> set[str]:
+    """The words that a lower-case token may stand for: joined, split at signs, and inside its decoded letters."""
+    whole = _restored(token, characters)
+    if token.isalpha() and whole == token:
+        return {token}
+    words = {whole}
+    for split in _SPLIT:
+        parts = [p for p in split.split(token) if len(p) > 1]
+        words.update(_restored(p, characters) for p in parts if p != token)
+    if characters is not None and whole.isalpha() and whole not in token:
+        words |= characters.words(whole)[1]
+    return words
+
+
+def _runs(low: str, characters: Characters | None) -> Iterator[tuple[list[str], set[str]]]:
+    """Of each run of letters with blanks between: its likeliest words; and all words it may stand for, joined, split at wide gaps and inside."""
+    for run in _SPACED.findall(low) if characters is not None else ():
+        if _LETTER.search(run):
+            whole = characters.decoded(" ".join(run.split()))
+            best, inside = characters.words(whole)
+            yield best, {whole, *(characters.decoded(" ".join(p.split())) for p in re.split(r"\s{2,}", run)), *inside}
 
 
 def features(word: str) -> list[int]:
@@ -197,19 +255,18 @@ class _Reader:
         self.found = Recent(self._of, CACHE_TOKENS)
 
     def _of(self, token: str) -> tuple[int, ...]:
-        own = features(_restored(token, self.characters))
+        own = dict.fromkeys(k for w in sorted(_readings(token, self.characters)) for k in features(w))
         return tuple(own) if self.wanted is None else tuple(k for k in own if k in self.wanted)
 
     def __call__(self, text: str) -> set[int]:
         seen: set[int] = set()
         found, low = self.found, text.lower()
-        tokens = low.split()
-        for token in set(tokens):
+        for token in set(low.split()):
             own = found[token]
             if own:
                 seen.update(own)
-        for word in _runs(low, tokens, self.characters):
-            seen.update(k for k in features(word) if self.wanted is None or k in self.wanted)
+        for _, words in _runs(low, self.characters):
+            seen.update(k for w in words for k in features(w) if self.wanted is None or k in self.wanted)
         return seen
 
 
@@ -379,8 +436,12 @@ def restored(docs: DataFrame, model: Model) -> DataFrame:
 
     def words(text: str, characters: Characters) -> str:
         low = text.lower()
-        tokens = low.split()
-        return " ".join([*(_restored(t, characters) for t in tokens), *_runs(low, tokens, characters)])
+        return " ".join([*(w for t in low.split() for w in apart(t, characters)), *(w for best, _ in _runs(low, characters) for w in best)])
+
+    def apart(token: str, characters: Characters) -> list[str]:
+        parts = [p for p in _SPLIT[0].split(token) if p]
+        # Single signs are one word that is set apart.
+        return [_restored(p, characters) for p in parts] if parts and min(map(len, parts)) > 1 else [_restored(token, characters)]
 
     def restore(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(parts, "text"):

@@ -327,6 +327,15 @@ def test_toxic_words_in_disguise(spark, toxic_model):
     assert restored[6] == "idiot" and restored[8] == "stupid"
 
 
+def test_toxic_words_among_others(spark, toxic_model):
+    """Words are found in runs of several words, in mixed tokens, and in tokens and runs of any length."""
+    bad = ["the a m o r o n", "t h e r e s t u p i d", "the,idiot", "of/stupid", "the;idiot", "st" + "u" * 200 + "pid", "m  o  r  o  n", "m\to\tr\to\tn",
+           "t h e  i d i o t", "the " * 3 + " ".join("the" * 45) + " s t u p i d", "m, o, r, o, n"]
+    docs = _docs(spark, [(k, t, None, None) for k, t in enumerate(bad)])
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.scored(docs, toxic_model).collect()}
+    assert [t for k, t in enumerate(bad) if not found[k]] == []
+
+
 def test_characters_of_all_texts(spark):
     """Words of unlabelled rows are in the character model, whatever the sample; ideographs are one letter."""
     docs = _docs(spark, [(1, "the and", "en", "s"), (2, "the", "en", "s"), (3, "\u0436\u0443\u043a \u6f22\u5b57", "ru", "s"), (4, "x" * 70, "en", "s")])

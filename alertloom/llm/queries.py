@@ -10,13 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import ann, chat, exact, language, mixing, pieces, shards, simhash, token_counts, toxicity
+from alertloom.llm import alignment, ann, chat, embedding_dups, exact, language, merkle, mixing, pieces, shards, simhash, token_counts, toxicity
 from alertloom.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Vocabulary of the token count and of the encoding; a file outside this repository.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,11 +88,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
+def op12_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.agreement(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_permutation_index, op2_token_counts, op3_chat_formatting, op4_sharding, op5_language, op6_exact_dedup, op7_mixing,
-        op8_sentencepiece, op9_toxicity, op10_simhash,
+        op8_sentencepiece, op9_toxicity, op10_simhash, op11_merkle_manifest, op12_embedding_dups, op13_tokenizer_alignment,
     )
 }
 
@@ -127,7 +140,83 @@ def _draw_sql(rounds: int) -> str:
     return ",".join(parts)
 
 
+def _field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR END"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+_BELOW = "sha256(string_agg(digest, '' ORDER BY place))"
+_FOLD = "sha256(CASE WHEN f.place % 2 = 1 THEN coalesce(s.digest, '') || f.digest ELSE f.digest || coalesce(s.digest, '') END)"
+# The polynomial of CRC-32, reversed.
+_CRC_STEP = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+
 EXPECTED = {
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE t AS (
+            SELECT list(c ORDER BY i) AS crcs FROM (
+                SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: {_CRC_STEP}) AS c FROM (SELECT unnest(range(256)) AS i)
+            )
+        ),
+        d AS (
+            SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+                CASE WHEN xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                        lambda x, y: xor(x >> 8, crcs[(xor(x, y) & 255) + 1])), 4294967295) % 7 = 0
+                    THEN {_leaf_sql("n_chars + 1")} END AS bad
+            FROM documents, t
+        ),
+        r AS (
+            SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+                count(*) OVER (PARTITION BY lang) AS n
+            FROM d
+        ),
+        nodes AS (
+            SELECT lang, 0 AS level, place, leaf AS digest, n FROM r
+            UNION ALL
+            SELECT lang, level + 1, place // 2, {_BELOW}, (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, level, place // 2, n
+        ),
+        subroots AS (
+            SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1
+        ),
+        tops AS (
+            SELECT 0 AS level, place, digest, n FROM subroots
+            UNION ALL
+            SELECT level + 1, place // 2, {_BELOW}, (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, place // 2, n
+        ),
+        folds AS (
+            SELECT id, lang, 0 AS level, place, coalesce(bad, leaf) AS digest, '' AS siblings, n FROM r
+            UNION ALL
+            SELECT f.id, f.lang, f.level + 1, f.place // 2, {_FOLD}, f.siblings || coalesce(s.digest, ''), (f.n + 1) // 2
+            FROM folds f LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM f.lang AND s.level = f.level AND s.place = xor(f.place, 1)
+            WHERE f.n > 1
+        ),
+        higher AS (
+            SELECT f.id, 0 AS level, s.place, f.digest, f.siblings, s.n, s.digest AS subroot
+            FROM folds f JOIN subroots s ON s.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1
+            UNION ALL
+            SELECT f.id, f.level + 1, f.place // 2, {_FOLD}, f.siblings || coalesce(s.digest, ''), (f.n + 1) // 2, f.subroot
+            FROM higher f LEFT JOIN tops s ON s.level = f.level AND s.place = xor(f.place, 1)
+            WHERE f.n > 1
+        )
+        SELECT r.doc_id, r.leaf, h.subroot, o.digest AS root, sha256(h.siblings) AS proof_sha256, h.digest AS folded_root, h.digest = o.digest AS verified
+        FROM r JOIN higher h USING (id), tops o WHERE h.n = 1 AND o.n = 1
+    """,
+    "op12_embedding_dups": f"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        links AS (
+            SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= {embedding_dups.THRESHOLD}
+        ),
+        reach AS (SELECT vec_id, vec_id AS seen FROM embeddings UNION SELECT r.vec_id, l.dst FROM reach r JOIN links l ON l.src = r.seen)
+        SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.src = e.vec_id) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+        FROM embeddings e JOIN (SELECT vec_id, min(seen) AS component_id FROM reach GROUP BY vec_id) m USING (vec_id)
+    """,
     "op6_exact_dedup": f"""
         WITH d AS (
             SELECT doc_id, sha256(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')) AS text_sha256

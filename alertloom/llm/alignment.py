@@ -338,7 +338,7 @@ def pair_counts(linked: DataFrame, base: int) -> DataFrame:
 def _least_frequent(counts: DataFrame, entries: int) -> int:
     """The smallest power of two that at most ``entries`` pairs are as frequent as."""
     held = counts.groupBy(F.length(F.bin("n")).alias("bits")).agg(F.count(F.lit(1)).alias("pairs")).collect()
-    least, total = 63, 0
+    least, total = 62, 0
     for bits, pairs in sorted(held, reverse=True):
         total += pairs
         if total > entries:

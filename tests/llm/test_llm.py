@@ -495,4 +495,4 @@ def test_pipeline(spark, rows, docs):
 
 
 def test_all_are_registered():
-    assert [int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES] == list(range(1, 14))

@@ -4,9 +4,14 @@ Encoding keeps an agenda of adjacent symbol pairs that form a piece, ordered by
 piece's score and then by position, and merges the best pair until the agenda is
 empty; symbols outside the vocabulary become byte pieces.  A text is encoded in
 segments: between two characters that stand next to each other inside no piece, no
-merge can reach across, so that segments encode alone.  Segments are encoded once per
-worker and kept in a bounded cache.  In each Arrow batch, all segments that were
-encoded anew are checked against the sentencepiece library in one call.
+merge can reach across, so that segments encode alone.
+
+The distinct segments of an Arrow slice that a worker has not seen of late are encoded
+together: their symbols and the ranks of their adjacent pairs are rows of two matrices,
+and each round merges the best pair of every row.  Segments over ``LONG_SEGMENT`` signs
+have an agenda of their own, a heap.  Encoded segments stay in a cache that is bounded
+in bytes.  In each Arrow slice the ids of all whole texts are checked against the
+sentencepiece library in one call.
 
 Decoding joins the bytes of the pieces.
 """
@@ -17,8 +22,7 @@ import functools
 import heapq
 import itertools
 import re
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +30,154 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertloom.llm.tables import Recent, slices
+from alertloom.llm.tables import slices
 
-# Encoded segments that a worker keeps: this many of late, and as many from before.
-CACHE_SEGMENTS = 100_000
+# Bytes of encoded segments that a worker keeps, about; beyond, only what the last slice used stays.
+CACHE_BYTES = 40_000_000
+# What an entry takes besides its key and its ids, and the longest key that is kept, in characters.
+ENTRY_BYTES, LONGEST_KEPT = 160, 256
 SPACE = "▁"
-# Longest segment that is encoded and cached whole; longer ones are cut where the vocabulary allows.
+# Longest segment with a row in the matrices; longer ones are cut where the vocabulary allows.
 LONG_SEGMENT = 64
+# Widths of the matrices; segments are padded to the next one.
+WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64)
+# Symbols above all that stand for signs in pieces: one for each code point, and one that pads.
+_CODE_POINTS = 0x110000
+
+
+class Agendas:
+    """The agendas of many segments at once, as rows of matrices.
+
+    Symbols are numbers: pieces and the single signs that occur in pieces first, then any code
+    point outside them.  ``rank`` finds in a hash table which piece two symbols form.
+    """
+
+    def __init__(self, ranks: dict[str, int], ids: dict[str, int], byte_ids: list[int]):
+        names = list(dict.fromkeys([*ranks, *[c for piece in ranks for c in piece]]))
+        number = {name: k for k, name in enumerate(names)}
+        self.base = len(names)
+        self.width = self.base + _CODE_POINTS + 1
+        self.pad = self.width - 1
+        self.none = len(ranks)
+        self.of_rank = np.zeros(len(ranks) + 1, np.int64)
+        keys, values = [], []
+        for piece, rank in ranks.items():
+            self.of_rank[rank] = number[piece]
+            for k in range(1, len(piece)):
+                left, right = number.get(piece[:k]), number.get(piece[k:])
+                if left is not None and right is not None:
+                    keys.append(left * self.width + right)
+                    values.append(rank)
+        self._build(np.array(keys, np.int64), np.array(values, np.int64))
+        self.of_sign = np.arange(self.base, self.base + _CODE_POINTS, dtype=np.int64)
+        for name, k in number.items():
+            if len(name) == 1:
+                self.of_sign[ord(name)] = k
+        # Ids of the symbols that have one; -1 stands for byte pieces.
+        self.id_of = np.full(self.base, -1, np.int32)
+        self.id_of[[number[name] for name in ids]] = list(ids.values())
+        self.signs = [name if len(name) == 1 else "" for name in names]
+        self.byte_ids = np.array(byte_ids, np.int32)
+
+    def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """An open hash table, a quarter full at most; a key that meets another goes on to the next place."""
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        size = 1 << self.bits
+        self.keys, self.values = np.full(size, -1, np.int64), np.full(size, self.none, np.int64)
+        places, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[places[left]] < 0]
+            self.keys[places[free]], self.values[places[free]] = keys[free], values[free]
+            left = left[self.keys[places[left]] != keys[left]]
+            places[left] = (places[left] + 1) & (size - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the piece that each two symbols form, ``none`` where there is none."""
+        keys = left * self.width + right
+        place = self._place(keys)
+        held = self.keys[place]
+        found = np.where(held == keys, self.values[place], self.none)
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while len(open_):
+            place[open_] = (place[open_] + 1) & (len(self.keys) - 1)
+            held = self.keys[place[open_]]
+            hit = held == keys[open_]
+            found[open_[hit]] = self.values[place[open_[hit]]]
+            open_ = open_[~hit & (held >= 0)]
+        return found
+
+    def _merged(self, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows and their symbols, as rows come to their end."""
+        rows, count = np.arange(len(symbols)), symbols.shape[1]
+        ranks = self.rank(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(symbols), count - 1)
+        while len(rows) and count > 1:
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(rows)), at]
+            over = best == self.none
+            if over.any():
+                yield rows[over], symbols[over]
+                keep = ~over
+                rows, symbols, ranks, at, best = rows[keep], symbols[keep], ranks[keep], at[keep], best[keep]
+            every = np.arange(len(rows))
+            symbols[every, at] = self.of_rank[best]
+            stays = np.ones(symbols.shape, bool)
+            stays[every, at + 1] = False
+            symbols = symbols[stays].reshape(len(rows), count - 1)
+            stays = np.ones(ranks.shape, bool)
+            stays[every, at] = False
+            ranks = ranks[stays].reshape(len(rows), count - 2)
+            count -= 1
+            for first in (at - 1, at):
+                some = np.flatnonzero((first >= 0) & (first < count - 1))
+                place = first[some]
+                ranks[some, place] = self.rank(symbols[some, place], symbols[some, place + 1])
+        if len(rows):
+            yield rows, symbols
+
+    def __call__(self, segments: list[str]) -> list[bytes]:
+        """The ids of each segment, packed; blanks are written as in pieces, none is longer than ``LONG_SEGMENT``."""
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
+        signs = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+        every = np.append(self.of_sign[signs], self.pad)
+        start = np.cumsum(size) - size
+        width_of = np.searchsorted(WIDTHS, size)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, width in enumerate(WIDTHS):
+            own = np.flatnonzero(width_of == k)
+            if len(own):
+                place = start[own, None] + np.arange(width)
+                place[np.arange(width) >= size[own, None]] = len(signs)
+                done += [(own[rows], symbols) for rows, symbols in self._merged(every[place])]
+        count = np.zeros(len(segments), np.int64)
+        for rows, symbols in done:
+            count[rows] = (symbols != self.pad).sum(axis=1)
+        ends = np.cumsum(count)
+        flat = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+        for rows, symbols in done:
+            real = symbols != self.pad
+            # Pads stand behind all others, for they join with none.
+            flat[((ends - count)[rows, None] + np.arange(symbols.shape[1]))[real]] = symbols[real]
+        ids, ends = self._ids(flat, ends)
+        whole, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [whole[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _ids(self, symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols, with byte pieces for those that have none; and where the first ``ends`` symbols end then."""
+        ids = np.where(symbols < self.base, self.id_of[np.minimum(symbols, self.base - 1)], -1).astype(np.int32)
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids, ends
+        sign = lambda s: self.signs[s] if s < self.base else chr(s - self.base)
+        raw = [sign(s).encode("utf-8", "surrogatepass") for s in symbols[odd].tolist()]
+        count = np.ones(len(ids), np.int64)
+        count[odd] = list(map(len, raw))
+        first = np.append(0, np.cumsum(count))
+        found = np.repeat(ids, count)
+        found[found < 0] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        return found, first[ends]
 
 
 class Vocabulary:
@@ -56,9 +201,9 @@ class Vocabulary:
         order = sorted(self.ids.values(), key=lambda k: (-library.get_score(k), k))
         rank = {k: r for r, k in enumerate(order)}
         self.rank = {p: rank[k] for p, k in self.ids.items()}
-        self.no_rank = len(order)
         self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.segment = self._segments()
+        self.agendas = Agendas(self.rank, self.ids, self.byte_ids)
         joined = set("".join(self.inside))
         self.apart = next(c for c in map(chr, range(1, 128)) if c not in joined)
         self.apart_size = len(self.library.encode(self.apart))
@@ -89,8 +234,8 @@ class Vocabulary:
         self.parts = parts
 
     def merged(self, text: str) -> list[int]:
-        """Ids of ``text``, whose blanks are written as in pieces; by the agenda alone."""
-        symbols = self._short(text) if len(text) <= LONG_SEGMENT else self._long(text)
+        """Ids of ``text``, whose blanks are written as in pieces; by an agenda of its own."""
+        symbols = self._heap(text)
         ids, out = self.ids, []
         for symbol in symbols:
             found = ids.get(symbol)
@@ -100,23 +245,8 @@ class Vocabulary:
                 out.extend([self.byte_ids[byte] for byte in symbol.encode("utf-8", "surrogatepass")])
         return out
 
-    def _short(self, text: str) -> list[str]:
-        """The agenda as a flat list: the rank of each symbol joined with the next, in the order of the text."""
-        get, none = self.rank.get, self.no_rank
-        symbols = list(text)
-        agenda = [get(text[k : k + 2], none) for k in range(len(text) - 1)]
-        while agenda and (best := min(agenda)) != none:
-            at = agenda.index(best)
-            joined = symbols[at] = symbols[at] + symbols[at + 1]
-            del symbols[at + 1], agenda[at]
-            if at:
-                agenda[at - 1] = get(symbols[at - 1] + joined, none)
-            if at < len(agenda):
-                agenda[at] = get(joined + symbols[at + 1], none)
-        return symbols
-
-    def _long(self, text: str) -> list[str]:
-        """The agenda as a heap of (rank, start of a symbol, start of the next)."""
+    def _heap(self, text: str) -> list[str]:
+        """The symbols that are left; the agenda is a heap of (rank, start of a symbol, start of the next)."""
         size, rank = len(text), self.rank
         agenda = [(found, k, k + 1) for k in range(size - 1) if (found := rank.get(text[k : k + 2])) is not None]
         heapq.heapify(agenda)
@@ -138,19 +268,40 @@ class Vocabulary:
         starts = [k for k in range(size) if end[k] > 0]
         return [text[k : end[k]] for k in starts]
 
-    def encoded(self, segment: str) -> list[int]:
-        """Ids of a segment; a long one is cut wherever no piece spans two neighbours."""
-        text = segment.replace(" ", SPACE)
-        if len(text) <= LONG_SEGMENT:
-            return self.merged(text)
-        inside = self.inside
-        cuts = [0, *[k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inside], len(text)]
-        return [k for a, b in itertools.pairwise(cuts) for k in self.merged(text[a:b])]
+    def encoded(self, keys: list[str]) -> list[bytes]:
+        """Packed ids of the segment of each key; a long one is cut wherever no piece spans two neighbours."""
+        segments = [SPACE + k if k[:1] not in "\n\0" else self.named(k).replace(" ", SPACE) for k in keys]
+        long = [k for k, n in enumerate(map(len, segments)) if n > LONG_SEGMENT]
+        if not long:
+            return self.agendas(segments)
+        inside, parts, first = self.inside, [], [0]
+        for k in long:
+            text, segments[k] = segments[k], ""
+            cuts = [0, *[c for c in range(1, len(text)) if text[c - 1 : c + 1] not in inside], len(text)]
+            parts += [text[a:b] for a, b in itertools.pairwise(cuts)]
+            first.append(len(parts))
+        found = self.agendas(segments + [p if len(p) <= LONG_SEGMENT else "" for p in parts])
+        found, cut = found[: len(segments)], found[len(segments) :]
+        for k, (a, b) in zip(long, itertools.pairwise(first)):
+            found[k] = b"".join(f if len(p) <= LONG_SEGMENT else np.array(self.merged(p), np.int32).tobytes() for f, p in zip(cut[a:b], parts[a:b]))
+        return found
+
+    def keys(self, text: str) -> list[str]:
+        """The segments of a text by shorter names: a segment of one blank and a word goes without the blank.
 
-    def library_ids(self, segments: list[str]) -> list[list[int]]:
-        """The library's ids of each segment alone: behind a character that joins with none, whose ids are taken off."""
-        found = self.library.encode([self.apart + s for s in segments], num_threads=1)
-        return [ids[self.apart_size :] for ids in found]
+        Where the text has neither two blanks nor two line breaks in a row, each of them begins a segment.
+        """
+        if not text:
+            return []
+        text = " " + text.replace(SPACE, " ")
+        if "  " not in text and "\n\n" not in text:
+            return text.replace("\n", " \n").split(" ")[1:]
+        return [s[1:] if s[0] == " " and s[1:2] not in ("", " ", "\n") else "\0" + s if s[0] == " " else s for s in self.segment.findall(text)]
+
+    @staticmethod
+    def named(key: str) -> str:
+        """The segment of a key; only keys from the slow path hold blanks."""
+        return key[1:] if key[:2] == "\0 " else key if key[:1] == "\n" else " " + key
 
     def decoded(self, ids: list[int]) -> str:
         """The text of ``ids``; of its blanks the one that encoding put first goes again."""
@@ -166,25 +317,42 @@ def vocabulary(path: str) -> Vocabulary:
 class Encoder:
     """Encodes texts and keeps the segments it has seen, as packed ids."""
 
-    def __init__(self, words: Vocabulary, check: bool):
-        self.words, self.check = words, check
-        self.new: list[tuple[str, list[int]]] = []
-        self.cache = Recent(self._encode, CACHE_SEGMENTS)
-
-    def _encode(self, segment: str) -> bytes:
-        ids = self.words.encoded(segment)
-        self.new.append((segment, ids))
-        return array("i", ids).tobytes()
+    def __init__(self, words: Vocabulary, check: bool, cache_bytes: int = CACHE_BYTES):
+        self.words, self.check, self.cache_bytes = words, check, cache_bytes
+        self.cache: dict[str, bytes] = {}
+        self.held = 0
+
+    def _learn(self, keys: set[str]) -> list[str]:
+        """Puts all of ``keys`` into the cache; those that were not there."""
+        new = list(keys.difference(self.cache))
+        found = self.words.encoded(new)
+        self.cache.update(zip(new, found))
+        self.held += sum(map(len, new)) + sum(map(len, found)) + ENTRY_BYTES * len(new)
+        return new
+
+    def _forget(self, used: set[str], new: list[str]) -> None:
+        """Drops long keys; and over the limit all that the last slice did not use, or everything if that is too much."""
+        for key in [k for k in new if len(k) > LONGEST_KEPT]:
+            self.held -= len(key) + len(self.cache.pop(key)) + ENTRY_BYTES
+            used.discard(key)
+        if self.held > self.cache_bytes:
+            self.cache = {k: self.cache[k] for k in used}
+            self.held = sum(map(len, used)) + sum(map(len, self.cache.values())) + ENTRY_BYTES * len(used)
+            if self.held > self.cache_bytes:
+                self.cache, self.held = {}, 0
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text.  What was encoded anew is checked in one call of the library."""
-        get, cut = self.cache.__getitem__, self.words.segments
-        found = [np.frombuffer(b"".join(map(get, cut(t))), np.int32) for t in texts]
-        new, self.new = self.new, []
-        if self.check and new:
-            for (segment, ids), theirs in zip(new, self.words.library_ids([s for s, _ in new])):
-                if ids != theirs:
-                    raise ValueError(f"{segment!r}: {ids} here, {theirs} in the library")
+        """The ids of each text, all checked in one call of the library."""
+        keys = list(map(self.words.keys, texts))
+        used = set().union(*keys)
+        new = self._learn(used)
+        get = self.cache.__getitem__
+        found = [np.frombuffer(b"".join(map(get, own)), np.int32) for own in keys]
+        self._forget(used, new)
+        if self.check:
+            for text, ids, theirs in zip(texts, found, self.words.library.encode(texts, num_threads=1)):
+                if ids.tolist() != theirs:
+                    raise ValueError(f"{text[:200]!r}: ids differ from the library's")
         return found
 
 
@@ -199,8 +367,8 @@ def encoded(docs: DataFrame, path: str, text: str = "text", check: bool = True,
     Ids are the library's for the whole text, without begin or end.  Null and empty texts
     have no ids and decode to the empty text.  Special strings in a text are ordinary text.
     Columns of ``docs`` named ``ids`` or ``decoded`` are replaced; all others stay, in order.
-    With ``check`` every segment that a worker encodes is compared with the library's ids,
-    and the job fails at a difference.
+    With ``check`` every whole text is compared with the library's ids, and the job fails at
+    a difference.  Texts of any length are encoded whole; repeated rows each give a row.
     """
     kept = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])

@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -202,11 +203,23 @@ def test_encoding_and_decoding(docs):
 
 def test_agenda_forms_agree():
     words = pieces.vocabulary(PIECES)
-    for text in ("▁the▁▁other", "reading" * 9, "abcabcabc", "▁▁▁▁▁x", "é", ""):
-        assert words._short(text) == words._long(text)
-    rare = pieces.Encoder(words, True)
-    texts = [" ".join(EN) * 3, "Übermut tut selten gut."]
-    assert [x.tolist() for x in rare(texts)] == LIBRARY.encode(texts)
+    rng = random.Random(3)
+    texts = ["▁the▁▁other", "reading" * 9, "abcabcabc", "▁▁▁▁▁x", "é", "", "\x00", "👍🏽a", "x" * 64]
+    texts += ["".join(rng.choice("▁thenigabcé日!") for _ in range(rng.randrange(1, 65))) for _ in range(3000)]
+    assert [np.frombuffer(x, np.int32).tolist() for x in words.agendas(texts)] == list(map(words.merged, texts))
+    assert words.agendas([]) == []
+
+
+@pytest.mark.parametrize("cache_bytes", [0, 20_000, 40_000_000])
+def test_encoder_is_the_library(cache_bytes):
+    """Over all forms of white space, long segments, and a cache that overflows."""
+    rng = random.Random(4)
+    encoder = pieces.Encoder(pieces.vocabulary(PIECES), True, cache_bytes)
+    for _ in range(6):
+        texts = ["".join(rng.choice(["the", "Über", " ", "  ", "\n", "\n\n", "\t", "▁", "a" * 70, "\x00", "日本", ".", "!?" * 40]) for _ in range(rng.randrange(60))) for _ in range(200)]
+        texts += [" ".join(EN) * 3, "Übermut tut selten gut.", "", " ", "a ", " \n a", *filter(None, ODD_TEXTS)]
+        assert [x.tolist() for x in encoder(texts)] == LIBRARY.encode(texts)
+        assert encoder.held <= cache_bytes and encoder.held >= sum(len(k) + len(v) for k, v in encoder.cache.items())
 
 
 # Language
@@ -337,10 +350,107 @@ def test_toxic_words_among_others(spark, toxic_model):
 
 
 def test_characters_of_all_texts(spark):
-    """Words of unlabelled rows are in the character model, whatever the sample; ideographs are one letter."""
-    docs = _docs(spark, [(1, "the and", "en", "s"), (2, "the", "en", "s"), (3, "\u0436\u0443\u043a \u6f22\u5b57", "ru", "s"), (4, "x" * 70, "en", "s")])
+    """Words of unlabelled rows are in the character model, whatever the sample, in any script."""
+    docs = _docs(spark, [(1, "the and", "en", "s"), (2, "the", "en", "s"), (3, "\u0436\u0443\u043a \u6f22\u5b57", "ru", "s"), (4, "x" * 70, "en", "s"), (5, None, None, None)])
     model = toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int"), limit=1).characters
-    assert model.three["^\u0436\u0443"] == 1 and model.three["^\u4e00\u4e00"] == 1 and model.three["xxx"] == 68
+    at = lambda gram: model.counts[toxicity._place(0, gram)]
+    assert at("^\u0436\u0443") == 1 and at("^\u6f22\u5b57") == 1 and at("xxx") == 68 and at("^th") == 2
+
+
+def test_counted_characters():
+    """Against counting words one by one."""
+    text = " (the) don't \"und,\" a1b x  $$$ über!!! \t\n日本語 e_f ...a... 12 " + "the " * 50 + "\u2003end"
+    want = np.zeros(toxicity._STARTS[-1], np.int64)
+    for token in text.split():
+        word = token.strip(toxicity._AROUND)
+        if word.isalpha():
+            padded = f"^^{word}$"
+            for k in range(len(padded) - 2):
+                a, b, c = padded[k : k + 3]
+                for table, gram in enumerate((a + b + c, b + c, c, a + b, b)):
+                    want[toxicity._place(table, gram)] += 1
+    assert (toxicity.counted_characters(text) == want).all() and want.sum() > 0
+    assert not toxicity.counted_characters("").any() and not toxicity.counted_characters(" 1 ").any()
+
+
+@pytest.fixture(scope="module")
+def characters():
+    text = " ".join(EN + DE + ["idiot", "moron", "stupid", "scum", "assess", "lilli", "zoo"]) * 7
+    return toxicity.Characters(toxicity.counted_characters(text))
+
+
+def _paths(model, signs):
+    """Every way through a lattice: (score, letters)."""
+    paths = [(0.0, "^^", "")]
+    for sign in signs:
+        after = []
+        letters = [(sign, toxicity.PLAIN)] if sign.isalpha() else [(c, toxicity.LOOK_ALIKE) for c in toxicity.LOOKS_LIKE.get(sign, "")]
+        for score, state, text in paths:
+            after += [(score + cost + model.log(state, c), state[1] + c, text + c) for c, cost in letters]
+            if sign in toxicity.SEPARATORS or not letters:
+                after.append((score + toxicity.SKIPPED, state, text))
+            if any(c == state[1] for c, _ in letters):
+                after.append((score + toxicity.REPEATED, state, text))
+        paths = after
+    return [(score + model.log(state, "$"), text) for score, state, text in paths]
+
+
+def test_viterbi_finds_the_best_of_all_paths(characters):
+    rng = random.Random(9)
+    for _ in range(300):
+        signs = "".join(rng.choice("thenio01!|$.-l1s5tt") for _ in range(rng.randrange(1, 10)))
+        found = _paths(characters, signs)
+        best = max(found)[0]
+        assert max(score for score, text in found if text == characters.decoded(signs)) == pytest.approx(best, abs=1e-9), signs
+
+
+def test_segmentation_is_that_of_all_cuts(characters):
+    rng = random.Random(10)
+    own = lambda w: sum(characters.log(p[k : k + 2], p[k + 2]) for p in [f"^^{w}$"] for k in range(len(w) + 1))
+    for _ in range(100):
+        letters = "".join(rng.choice("theindo") for _ in range(rng.randrange(1, 10)))
+        every = []
+        for cuts in range(1 << (len(letters) - 1)):
+            words = [""]
+            for k, c in enumerate(letters):
+                words[-1] += c
+                if k < len(letters) - 1 and cuts >> k & 1:
+                    words.append("")
+            every.append((sum(map(own, words)), words))
+        best = max(every)[0]
+        found, near = characters.words(letters)
+        assert "".join(found) == letters and sum(map(own, found)) == pytest.approx(best, abs=1e-9)
+        assert set(near) == {w for score, words in every if score >= best - toxicity.MARGIN for w in words}
+
+
+def test_regression_is_the_dense_one():
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 12)) < 0.2
+    y = (rng.random(400) < 1 / (1 + np.exp(2 - 3 * x[:, 0] - 2 * x[:, 1]))).astype(int)
+    w, bias = toxicity._fitted([(int(t), np.flatnonzero(r).tolist()) for t, r in zip(y, x)], list(range(12)))
+    full, penalty, v = np.column_stack([x, np.ones(400)]).astype(float), np.append(np.full(12, toxicity.PENALTY), 1e-6), np.zeros(13)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-full @ v))
+        v -= np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + np.diag(penalty), full.T @ (p - y) + penalty * v)
+    assert np.allclose(np.append(w, bias), v, atol=1e-6)
+
+
+def test_words_that_stand_as_they_are_give_none_inside(characters):
+    harmless = "grape-fruit cockpit-door therapist-led can't don't http://www.example.com/some-page_1 (cockpit) scunthorpe! class$$$ x=assess; 1st"
+    inside = {"rape", "cock", "rapist", "cunt", "ass", "tit"}
+    for token in harmless.split():
+        assert inside.isdisjoint(toxicity._readings(token, characters)), token
+    assert "idiot" in set(toxicity._readings("the1d10t", characters)) and "stupid" in set(toxicity._readings("$tupid!", characters))
+
+
+def test_long_tokens_take_linear_time(characters):
+    for token in ("ab3+/9x1k0", "a.b.c", "1!|", "x"):
+        took = []
+        for times in (500, 4000):
+            began = time.process_time()
+            assert sum(1 for _ in toxicity._readings(token * times, characters))
+            took.append(time.process_time() - began)
+        assert took[1] < 24 * took[0] + 0.5, token
 
 
 def test_toxicity_without_labels(spark, docs):

@@ -2,26 +2,28 @@
 
 A token that may be disguised (letters mixed with look-alike signs, single letters set
 apart, letters repeated) is a lattice: each observed sign may stand for several letters,
-be a separator that stands for nothing or for a word boundary, or repeat the letter before.
-Viterbi decoding under a trigram model of characters picks the likeliest letters; they are
-read as one word, split at separators, and split where the model has word boundaries on any
-path that is about as likely as the best.  The restored text is
-scored by a logistic regression over hashed words and word beginnings.
-
-The character model counts the words of all texts.  The regression is fitted on a bounded
-sample of labelled rows (``SAMPLE_ROWS``) chosen by a hash of the id.  Both are small and
-broadcast; scoring is a map over whole texts.
+be a separator that stands for nothing, or repeat the letter before.  Viterbi decoding
+under a trigram model of characters picks the likeliest letters; they are read as one word
+and split at separators.  Where signs between letters stood for letters, and in runs of
+letters set apart, the words that are written together are read too: all on paths about as
+likely as the best.  Words that stand as they are never give words inside them.  The
+restored text is scored by a logistic regression over hashed words and word beginnings.
+
+The character model counts the words of all texts, into hashed tables of a fixed size.  The
+regression is fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``) chosen by a hash
+of the id.  Both are small and broadcast; scoring is a map over whole texts.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import os
 import re
+import sys
 import string
 import uuid
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,21 +39,22 @@ from alertloom.llm.tables import Recent, checkpointed, slices
 # Rows that the regression is fitted on, about; all if there are fewer.
 SAMPLE_ROWS = 20_000
 BUCKETS = 1 << 18
-# Features that the regression may use, and the evidence (G-test) that each needs.
-MAX_FEATURES = 512
+# The evidence (G-test) that a feature needs.
 LEAST_EVIDENCE = 15.0
 # Weight of the penalty on squared coefficients.
 PENALTY = 0.01
 THRESHOLD = 0.3
-# Longest word that is looked for inside decoded letters; the whole is read at any length.
-LONGEST = 64
 # Signs between two shortenings of the decoder's paths.
 WINDOW = 64
 # Words inside decoded letters count if the best path through them is at most so much less likely (log) than the best.
 MARGIN = 4.0
 CACHE_TOKENS = 400_000
-# Distinct words that a worker holds before it spells them.
-HELD_WORDS = 100_000
+# Log probabilities that a worker keeps.
+KNOWN_GRAMS = 500_000
+# Letters from which a word inside decoded letters counts by its beginning alone.
+LONGEST = 64
+# Places in the hashed tables of three, two and one characters, as powers of two.
+TABLE_BITS = (18, 16, 14)
 # Lengths of word beginnings that are features besides whole words.
 BEGINNINGS = (5, 6, 7)
 
@@ -70,53 +73,105 @@ _AROUND = string.punctuation + "«»„“”’…¡¿"
 _NEVER_LETTERS = "".join(c for c in _AROUND if c not in LOOKS_LIKE)
 _LETTER = re.compile(r"[^\W\d_]")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-# Four or more single signs with blanks between, and maybe other separators; without blanks they are one token.
+# Three or more single signs with blanks between, and maybe other separators; without blanks they are one token.
 _SIGN = r"[\w@$!|+(€£¡][.\-_*~'/,:]*"
-_SPACED = re.compile(rf"(?<!\S)(?:{_SIGN}\s+){{3,}}{_SIGN}(?!\S)")
+_SPACED = re.compile(rf"(?<!\S)(?:{_SIGN}\s+){{2,}}{_SIGN}(?!\S)")
 # Where a token may be split: at signs that stand for no letter, and at all that are none.
 _SPLIT = (re.compile(r"[^\w@$!|+(€£¡]+|_+"), re.compile(r"[\W\d_]+"))
 
 
-# Signs of scripts without an alphabet (ideographs, Yi, Hangul syllables), which count as one letter
-# in the model, so that the trigrams are bounded by the alphabets.
-_NO_ALPHABET = re.compile("[\u3400-\u9fff\ua000-\ua4cf\uac00-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff]")
-_IDEOGRAPH = "\u4e00"
-
-
-def plain(word: str) -> str:
-    """``word`` with one sign for all signs of scripts without an alphabet."""
-    return word if word.isascii() else _NO_ALPHABET.sub(_IDEOGRAPH, word)
+# Look-alike signs between two letters.
+_INSIDE = re.compile(rf"[^\W\d_][{re.escape(''.join(LOOKS_LIKE))}]+[^\W\d_]")
+# Letters of which none is followed by itself, but for the last.
+_STRETCH = re.compile(r"(?:([^\W\d_])(?!\1))*[^\W\d_]?")
+
+_WORD = (1 << 64) - 1
+# Multipliers of the hash of characters.
+_STEP, _MIX = 0x100000001B3, 0x9E3779B97F4A7C15
+# Where each table begins in the counts: three, two and one characters, and two and one before another.
+_TABLES = (*TABLE_BITS, *TABLE_BITS[1:])
+_STARTS = tuple(sum(1 << b for b in _TABLES[:k]) for k in range(len(_TABLES) + 1))
+
+
+def _place(table: int, characters: str) -> int:
+    """Where a table counts ``characters``."""
+    found = 0
+    for c in characters:
+        found = (found * _STEP + ord(c)) & _WORD
+    return _STARTS[table] + (((found * _MIX) & _WORD) >> (64 - _TABLES[table]))
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """For each code point 1 for white space, 2 for a letter, 4 for a sign taken off a token's ends, else 0."""
+    kinds = np.zeros(sys.maxunicode + 1, np.uint8)
+    for k in range(sys.maxunicode + 1):
+        c = chr(k)
+        kinds[k] = 2 if c.isalpha() else 1 if c.isspace() else 0
+    kinds[[ord(c) for c in _AROUND]] = 4
+    return kinds
+
+
+def counted_characters(text: str) -> np.ndarray:
+    """The counts of all tables over the words of a lower-case text that, signs at their ends aside, consist of letters."""
+    counts = np.zeros(_STARTS[-1], np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _kinds()[codes]
+    inside = kinds != 1
+    starts = np.flatnonzero(inside & np.append(True, ~inside[:-1])) if len(codes) else codes
+    if not len(starts):
+        return counts
+    letter, place = kinds == 2, np.arange(len(codes))
+    # Characters up to the next token are white space and count for nothing here.
+    letters = np.add.reduceat(letter, starts, dtype=np.int64)
+    others = np.add.reduceat(kinds == 0, starts, dtype=np.int64)
+    first = np.minimum.reduceat(np.where(letter, place, len(codes)), starts)
+    last = np.maximum.reduceat(np.where(letter, place, -1), starts)
+    good = (letters > 0) & (others == 0) & (last - first + 1 == letters)
+    sizes = letters[good]
+    if not len(sizes):
+        return counts
+    of_good = np.repeat(good, np.diff(np.append(starts, len(codes))))
+    own = codes[starts[0] :][letter[starts[0] :] & of_good]
+    # Each word with two marks in front and one behind.
+    ends = np.cumsum(sizes + 3)
+    padded = np.full(int(ends[-1]), ord("^"), np.uint64)
+    padded[np.arange(len(own)) + 3 * np.repeat(np.arange(len(sizes)), sizes) + 2] = own
+    padded[ends - 1] = ord("$")
+    counted = np.ones(len(padded), bool)
+    counted[ends[:-1]] = counted[ends[:-1] + 1] = False
+    third = np.flatnonzero(counted[2:]) + 2
+    a, b, c = padded[third - 2], padded[third - 1], padded[third]
+    step, mix = np.uint64(_STEP), np.uint64(_MIX)
+    for table, codes in enumerate(((a * step + b) * step + c, b * step + c, c, a * step + b, b)):
+        found = ((codes * mix) >> np.uint64(64 - _TABLES[table])).astype(np.int64)
+        counts[_STARTS[table] : _STARTS[table + 1]] = np.bincount(found, minlength=1 << _TABLES[table])
+    return counts
 
 
 class Characters:
-    """A trigram model of characters: interpolated with bigrams and single characters."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.three, self.two, self.one = defaultdict(int), defaultdict(int), defaultdict(int)
-        for gram, n in counts.items():
-            self.three[gram] += n
-            self.two[gram[1:]] += n
-            self.one[gram[2:]] += n
-        self.after_two, self.after_one = defaultdict(int), defaultdict(int)
-        for gram, n in self.three.items():
-            self.after_two[gram[:2]] += n
-        for gram, n in self.two.items():
-            self.after_one[gram[:1]] += n
-        self.total = sum(self.one.values()) + 1
+    """A trigram model of characters: interpolated with bigrams and single characters; counts are in hashed tables."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        self.total = int(counts[_STARTS[2] : _STARTS[3]].sum()) + 1
 
     @functools.cached_property
     def known(self) -> dict[str, float]:
         return {}
 
     def log(self, before: str, letter: str) -> float:
-        gram = plain(before + letter)
-        before, letter = gram[:2], gram[2:]
+        gram = before + letter
         found = self.known.get(gram)
         if found is None:
-            one = (self.one.get(letter, 0) + 0.1) / self.total
-            two = self.two.get(gram[1:], 0) / max(1, self.after_one.get(gram[1:2], 0))
-            three = self.three.get(gram, 0) / max(1, self.after_two.get(before, 0))
-            found = self.known[gram] = math.log(0.6 * three + 0.3 * two + 0.1 * one)
+            at = lambda table, characters: int(self.counts[_place(table, characters)])
+            one = (at(2, letter) + 0.1) / self.total
+            two = at(1, gram[1:]) / max(1, at(4, gram[1:2]))
+            three = at(0, gram) / max(1, at(3, gram[:2]))
+            if len(self.known) >= KNOWN_GRAMS:
+                self.known.clear()
+            # Tables that share places may count more of a part than of the whole.
+            found = self.known[gram] = math.log(min(1.0, 0.6 * min(1.0, three) + 0.3 * min(1.0, two) + 0.1 * one))
         return found
 
     def __getstate__(self) -> dict:
@@ -126,7 +181,19 @@ class Characters:
         """The likeliest letters for ``signs``; the state is the last two letters, ^ marks the start and $ the end."""
         paths: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
         done: list[str] = []
-        for place, sign in enumerate(signs, 1):
+        place = 0
+        while place < len(signs):
+            sign = signs[place]
+            if len(paths) == 1:
+                # What there is one path to can be put aside; letters that repeat none before stand for themselves.
+                ((state, (_, text)),) = paths.items()
+                run = _STRETCH.match(signs, place).group() if sign != state[1] else ""
+                done.append(text + run)
+                paths = {(state + run)[-2:]: (0.0, "")}
+                if run:
+                    place += len(run)
+                    continue
+            place += 1
             after: dict[str, tuple[float, str]] = {}
             letters = [(sign, PLAIN)] if _LETTER.match(sign) else [(c, LOOK_ALIKE) for c in LOOKS_LIKE.get(sign, "")]
             for state, (score, text) in paths.items():
@@ -139,41 +206,61 @@ class Characters:
                     if new not in after or total > after[new][0]:
                         after[new] = (total, found)
             paths = after
-            if place % WINDOW == 0:
+            if len(max(paths.values(), key=lambda p: len(p[1]))[1]) > WINDOW:
                 # What all paths agree on is put aside, so that long input takes linear time.
                 done.append(os.path.commonprefix([text for _, text in paths.values()]))
                 paths = {state: (score, text[len(done[-1]):]) for state, (score, text) in paths.items()}
         return "".join(done) + max((score + self.log(state, "$"), text) for state, (score, text) in paths.items())[1]
 
-    def words(self, letters: str, margin: float = MARGIN) -> tuple[list[str], set[str]]:
-        """The likeliest words that ``letters`` are written together from, and those on paths at most ``margin`` less likely."""
+    def words(self, letters: str, margin: float = MARGIN) -> tuple[list[str], Iterator[str]]:
+        """The likeliest words that ``letters`` are written together from, and those on paths at most ``margin`` less likely.
+
+        A word of two letters or more from i to j scores ``head[i] + tail[j]``, so that the best start
+        of a word that ends at j is a running maximum and time is linear.
+        """
         n = len(letters)
+        if not n:
+            return [], iter(())
         sums = [0.0, 0.0, 0.0]
         for k in range(2, n):
             sums.append(sums[-1] + self.log(letters[k - 2 : k], letters[k]))
         one = [self.log("^^", c) for c in letters]
-        two = [self.log("^" + a, b) for a, b in zip(letters, letters[1:])]
-        end = [self.log(letters[k - 1 : k + 1] if k else "^" + letters[0], "$") for k in range(n)]
+        alone = [one[k] + self.log("^" + c, "$") for k, c in enumerate(letters)]
+        head = [one[k] + self.log("^" + letters[k], letters[k + 1]) - sums[k + 2] for k in range(n - 1)]
+        tail = [0.0, 0.0, *(sums[j] + self.log(letters[j - 2 : j], "$") for j in range(2, n + 1))]
 
-        def own(i: int, j: int) -> float:
-            if j - i == 1:
-                return one[i] + self.log("^" + letters[i], "$")
-            return one[i] + two[i] + sums[j] - sums[i + 2] + end[j - 1]
-
-        ahead, back, start = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
+        ahead, start = [0.0] * (n + 1), [0] * (n + 1)
+        top, at = -math.inf, 0
         for j in range(1, n + 1):
-            ahead[j], start[j] = max((ahead[i] + own(i, j), i) for i in range(max(0, j - LONGEST), j))
+            if j > 1 and ahead[j - 2] + head[j - 2] > top:
+                top, at = ahead[j - 2] + head[j - 2], j - 2
+            ahead[j], start[j] = max((ahead[j - 1] + alone[j - 1], j - 1), (top + tail[j], at))
+        back, top = [0.0] * (n + 1), -math.inf
         for i in range(n - 1, -1, -1):
-            back[i] = max(own(i, j) + back[j] for j in range(i + 1, min(n, i + LONGEST) + 1))
-        least = ahead[n] - margin
-        near = {
-            letters[i:j] for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1) if ahead[i] + own(i, j) + back[j] >= least
-        }
+            if i < n - 1:
+                top = max(top, tail[i + 2] + back[i + 2])
+            back[i] = max(alone[i] + back[i + 1], head[i] + top) if i < n - 1 else alone[i] + back[i + 1]
         best, j = [], n
         while j:
             best.append(letters[start[j] : j])
             j = start[j]
-        return best[::-1], near
+        return best[::-1], self._near(letters, ahead, back, alone, head, tail, ahead[n] - margin)
+
+    @staticmethod
+    def _near(letters: str, ahead: list, back: list, alone: list, head: list, tail: list, least: float) -> Iterator[str]:
+        """All words on paths that score ``least`` or more; of one over ``LONGEST`` letters the beginning, with a mark that it goes on."""
+        n = len(letters)
+        yield from (letters[k] for k in range(n) if ahead[k] + alone[k] + back[k + 1] >= least)
+        if n < 2:
+            return
+        left, right = np.array(ahead[: n - 1]) + head, np.array(tail) + back
+        beyond = np.append(np.maximum.accumulate(right[::-1])[::-1], np.full(LONGEST, -np.inf))
+        for i in np.flatnonzero(left + beyond[2 : n + 1] >= least).tolist():
+            wanted, last = least - left[i], i + LONGEST
+            for j in (np.flatnonzero(right[i + 2 : last + 1] >= wanted) + i + 2).tolist():
+                yield letters[i:j]
+            if beyond[last + 1] >= wanted:
+                yield letters[i:last] + "…"
 
 
 def suspicious(token: str) -> bool:
@@ -194,35 +281,47 @@ def _restored(token: str, characters: Characters | None) -> str:
     return token.strip(_AROUND)
 
 
-def _readings(token: str, characters: Characters | None) -> set[str]:
-    """The words that a lower-case token may stand for: joined, split at signs, and inside its decoded letters."""
+def _readings(token: str, characters: Characters | None) -> Iterator[str]:
+    """The words that a lower-case token may stand for: joined, split at signs, and written together with signs for letters."""
+    core = token.strip(_NEVER_LETTERS)
+    if core.isalpha() and not _TRIPLE.search(core):
+        yield core
+        return
     whole = _restored(token, characters)
-    if token.isalpha() and whole == token:
-        return {token}
-    words = {whole}
+    yield whole
+    if token.isalpha():
+        return
+    if characters is not None:
+        # Signs at one end may stand for letters while those at the other are punctuation.
+        yield from (characters.decoded(f) for f in {core.rstrip(_AROUND), core.lstrip(_AROUND)} - {core} if suspicious(f))
+    single = True
     for split in _SPLIT:
-        parts = [p for p in split.split(token) if len(p) > 1]
-        words.update(_restored(p, characters) for p in parts if p != token)
-    if characters is not None and whole.isalpha() and whole not in token:
-        words |= characters.words(whole)[1]
-    return words
+        parts = [p for p in split.split(token) if p]
+        single = single and max(map(len, parts), default=0) == 1 and len(parts) > 2
+        for p in parts:
+            if len(p) > 1 and p != token:
+                yield _restored(p, characters)
+    # Words inside other letters are read only if a sign between letters stood for one, or all letters are set apart.
+    if characters is not None and whole.isalpha() and (single or _INSIDE.search(token)):
+        yield from characters.words(whole)[1]
 
 
-def _runs(low: str, characters: Characters | None) -> Iterator[tuple[list[str], set[str]]]:
+def _runs(low: str, characters: Characters | None) -> Iterator[tuple[list[str], Iterator[str]]]:
     """Of each run of letters with blanks between: its likeliest words; and all words it may stand for, joined, split at wide gaps and inside."""
     for run in _SPACED.findall(low) if characters is not None else ():
         if _LETTER.search(run):
             whole = characters.decoded(" ".join(run.split()))
             best, inside = characters.words(whole)
-            yield best, {whole, *(characters.decoded(" ".join(p.split())) for p in re.split(r"\s{2,}", run)), *inside}
+            wide = (characters.decoded(" ".join(p.split())) for p in re.split(r"\s{2,}", run))
+            yield best, itertools.chain([whole], wide, inside)
 
 
 def features(word: str) -> list[int]:
     """Buckets of a word and of its beginnings."""
     if not word:
         return []
-    parts = [f"={word}", *(f"{n}{word[:n]}" for n in BEGINNINGS if len(word) >= n)]
-    return [xxhash.xxh32_intdigest(p) % BUCKETS for p in parts]
+    digest, size = xxhash.xxh32_intdigest, len(word)
+    return [digest("=" + word) % BUCKETS, *[digest(f"{n}{word[:n]}") % BUCKETS for n in BEGINNINGS if size >= n]]
 
 
 @dataclass
@@ -255,8 +354,11 @@ class _Reader:
         self.found = Recent(self._of, CACHE_TOKENS)
 
     def _of(self, token: str) -> tuple[int, ...]:
-        own = dict.fromkeys(k for w in sorted(_readings(token, self.characters)) for k in features(w))
-        return tuple(own) if self.wanted is None else tuple(k for k in own if k in self.wanted)
+        wanted, own = self.wanted, []
+        for word in _readings(token, self.characters):
+            found = features(word)
+            own += found if wanted is None else [k for k in found if k in wanted]
+        return tuple(dict.fromkeys(own))
 
     def __call__(self, text: str) -> set[int]:
         seen: set[int] = set()
@@ -288,33 +390,20 @@ def _drawn(known: DataFrame, limit: int) -> Column:
 
 
 def character_model(texts: DataFrame) -> Characters:
-    """A model of the words of ``texts`` that consist of letters; all trigrams of their alphabets are counted."""
+    """A model of the words of ``texts`` that consist of letters; all their trigrams are counted, of any script."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: Counter[str] = Counter()
-        words: Counter[str] = Counter()
-
-        def spelled() -> None:
-            for token, n in words.items():
-                word = token.strip(_AROUND)
-                if word.isalpha():
-                    padded = f"^^{plain(word)}$"
-                    for k in range(len(padded) - 2):
-                        grams[padded[k : k + 3]] += n
-            words.clear()
-
+        counts = np.zeros(_STARTS[-1], np.int64)
         for part in slices(parts, "text"):
-            for text in part.column("text").to_pylist():
-                words.update((text or "").lower().split())
-            if len(words) > HELD_WORDS:
-                spelled()
-        spelled()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["gram", "n"]
-        )
+            counts += counted_characters(" ".join(t or "" for t in part.column("text").to_pylist()).lower())
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], ["place", "n"])
 
-    counted = texts.select("text").mapInArrow(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return Characters({r["gram"]: r["n"] for r in counted.collect()})
+    # As many rows as the tables have places at most.
+    counted = texts.select("text").mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(_STARTS[-1], np.int64)
+    counts[counted.column("place").to_numpy()] = counted.column("n").to_numpy()
+    return Characters(counts)
 
 
 def _chosen(toxic: np.ndarray, clean: np.ndarray, toxic_rows: int, clean_rows: int) -> list[int]:
@@ -328,24 +417,44 @@ def _chosen(toxic: np.ndarray, clean: np.ndarray, toxic_rows: int, clean_rows: i
         )
     good = (toxic > seen * share) & (g >= LEAST_EVIDENCE) & (toxic >= 2)
     best = np.flatnonzero(good)
-    return best[np.lexsort((best, -g[best]))][:MAX_FEATURES].tolist()
+    return best[np.lexsort((best, -g[best]))].tolist()
+
+
+def _solved(times, slope: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The solution of ``times(x) = slope`` for a positive definite product, by conjugate gradients scaled by its diagonal."""
+    found = np.zeros_like(slope)
+    rest = slope.copy()
+    eased = rest / scale
+    way, size = eased.copy(), rest @ eased
+    for _ in range(len(slope) + 10):
+        if size <= 1e-24 * max(1.0, slope @ slope):
+            break
+        moved = times(way)
+        step = size / (way @ moved)
+        found += step * way
+        rest -= step * moved
+        eased = rest / scale
+        way, size = eased + (rest @ eased) / size * way, rest @ eased
+    return found
 
 
 def _fitted(rows: list[tuple[int, list[int]]], chosen: list[int]) -> tuple[np.ndarray, float]:
-    """Coefficients and bias of a logistic regression with a squared penalty, by Newton's method."""
+    """Coefficients and bias of a logistic regression with a squared penalty, by Newton's method on sparse rows."""
     place = {k: n for n, k in enumerate(chosen)}
-    x = np.zeros((len(rows), len(chosen) + 1))
-    x[:, -1] = 1
-    for n, (_, found) in enumerate(rows):
-        x[n, [place[k] for k in found]] = 1
+    size = len(chosen) + 1
+    row = np.repeat(np.arange(len(rows)), [len(found) + 1 for _, found in rows])
+    column = np.array([n for _, found in rows for n in (*(place[k] for k in found), size - 1)], np.int64)
     y = np.array([label for label, _ in rows], float)
+    across = lambda w: np.bincount(row, w[column], len(rows))
+    down = lambda v: np.bincount(column, v[row], size)
     penalty = np.append(np.full(len(chosen), PENALTY), 1e-6)
-    w = np.zeros(len(chosen) + 1)
+    w = np.zeros(size)
     for _ in range(12):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + penalty * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
-        step = np.linalg.solve(curve, slope)
+        p = 1 / (1 + np.exp(-np.clip(across(w), -30, 30)))
+        spread = p * (1 - p)
+        slope = down(p - y) + penalty * w
+        curve = lambda x: down(spread * across(x)) + (penalty + 1e-9) * x  # noqa: B023, E731
+        step = _solved(curve, slope, down(spread) + penalty + 1e-9)
         # Steps are shortened so that separable data does not make them run away.
         w -= step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
     return w[:-1], float(w[-1])
@@ -409,8 +518,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 if the score reaches ``threshold``) of every row of ``docs``.
 
-    ``docs`` needs ``doc_id`` and ``text``; only the text decides.  Null and empty texts get
-    the score of a text without toxic words.  Repeated rows each give a row.
+    ``docs`` needs ``doc_id`` and ``text``; only the text decides, and other columns are ignored.
+    Null and empty texts get the score of a text without toxic words.  Repeated rows each
+    give a row.  Texts and tokens of any length are read whole, in linear time.  An empty
+    table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))

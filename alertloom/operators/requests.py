@@ -211,9 +211,7 @@ def rate_limit(
     )
     busy = rows.where(F.col("_own") & F.col("_busy")).select(*columns, "_us", "_starts", "_open").withColumn("ts", F.col("request_ts"))
     start = F.when(F.col("_starts"), F.col("request_id"))
-    busy = series.carry_forward(
-        busy, [client], ["ts", "request_id"], start, "_episode", _CHUNK_WINDOWS * window_seconds
-    ).drop("ts", "_starts")
+    busy = series.carry_forward(busy, [client], ["ts", "request_id"], start, "_episode").drop("ts", "_starts")
     ordered = busy.repartition(client, "_episode").sortWithinPartitions(client, "_episode", "_us", "request_id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
     decided = ordered.mapInPandas(_fold(client, limit, window_us), f"{schema}, {DECISION_SCHEMA}")

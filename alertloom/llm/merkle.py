@@ -48,12 +48,13 @@ def leaf(doc_id: Column, source: Column, lang: Column, n_chars: Column, text: Co
     return digest(*map(field, (doc_id, source, lang, n_chars, text)))
 
 
-def numbered(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
+def numbered(rows: DataFrame, tree: str, order: list[str], parts: int | None = None) -> DataFrame:
     """``rows`` (checkpointed) with ``lo``, the rank within ``tree`` by ``order``, and ``n``, the rows of the tree.
 
-    Nulls come first.  Rows alike in all these columns get ranks in any order.
+    Nulls come first.  Rows alike in all these columns get ranks in any order.  ``parts`` is the
+    number of range partitions; without it they hold ``PART_ROWS`` rows.
     """
-    parts = max(-(-rows.count() // PART_ROWS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, -(-rows.count() // PART_ROWS)) if parts is None else parts
     keys = [F.col(c).asc_nulls_first() for c in (tree, *order)]
     ranged = checkpointed(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys))
     place = F.monotonically_increasing_id()
@@ -61,9 +62,7 @@ def numbered(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
     counts = ranged.groupBy("part", tree).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("held"))
     within = Window.partitionBy(tree)
     before = F.sum("held").over(within.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = checkpointed(
-        counts.select("part", F.col(tree).alias("of"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("start"), F.sum("held").over(within).alias("n"))
-    )
+    starts = counts.select("part", F.col(tree).alias("of"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("start"), F.sum("held").over(within).alias("n"))
     # One row for each partition and tree in it.
     found = ranged.join(starts, (starts["part"] == ranged["part"]) & F.col(tree).eqNullSafe(F.col("of")))
     return found.select(*[ranged[c] for c in rows.columns], (F.col("place") + F.col("start")).cast("bigint").alias("lo"), F.col("n").cast("bigint").alias("n"))
@@ -133,14 +132,14 @@ def _siblings(base: int, lo: Column, levels: Column, bucket: Column, n: Column,
 class Trees:
     """The trees over ``leaves`` (tree, lo, n, digest, payload), by buckets; each bucketed level is a checkpointed table."""
 
-    def __init__(self, leaves: DataFrame, span: int = SPAN):
-        self.span = span
+    def __init__(self, leaves: DataFrame, span: int = SPAN, parts: int | None = None):
+        self.span, self.parts = span, parts or int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         most = leaves.agg(F.max("n")).first()[0] or 0
         strata = max(1, math.ceil(max(0, most - 1).bit_length() / span))
         self.buckets: list[DataFrame] = []
         items = leaves
         for k in range(strata):
-            held = checkpointed(_bucketed(items.withColumn("height", _height(F.col("n"))), k * span, span))
+            held = checkpointed(self._fewer(_bucketed(items.withColumn("height", _height(F.col("n"))), k * span, span), k))
             self.buckets.append(held)
             if k + 1 < strata:
                 more = held.where(F.col("height") > (k + 1) * span)
@@ -149,6 +148,10 @@ class Trees:
                     F.lit(None).alias("payload"),
                 )
 
+    def _fewer(self, rows: DataFrame, k: int) -> DataFrame:
+        """Rows of stratum ``k`` in as many fewer partitions as they are fewer than the leaves."""
+        return rows.coalesce(max(1, self.parts >> (k * self.span))) if k else rows
+
     def _tops(self, k: int) -> Column:
         """Whether a bucket of stratum ``k`` ends its tree."""
         return F.col("height") <= (k + 1) * self.span
@@ -200,7 +203,7 @@ class Trees:
             found = item.select("tree", F.col("item.lo").alias("lo"), F.col("item.digest").alias("digest"), F.col("item.payload").alias("payload"), path.alias("proof"), *extra)
             if k == 0:
                 return found
-            below = checkpointed(found.select("tree", F.shiftright("lo", base).alias("node"), F.col("proof").alias("beyond"), *extra))
+            below = checkpointed(self._fewer(found.select("tree", F.shiftright("lo", base).alias("node"), F.col("proof").alias("beyond"), *extra), k))
 
 
 def folded(start: Column, proof: Column) -> Column:
@@ -233,16 +236,20 @@ def manifest(docs: DataFrame, span: int = SPAN) -> DataFrame:
     rows = checkpointed(docs.select(
         F.col("lang").cast("string").alias("tree"), F.col("doc_id").cast("bigint").alias("doc_id"), leaf(**columns).alias("digest"), bad.alias("bad"),
     ))
-    leaves = numbered(rows, "tree", ["doc_id", "digest"])
+    wide = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = numbered(rows, "tree", ["doc_id", "digest"], max(wide, -(-rows.count() // PART_ROWS)))
     trees = Trees(leaves.select("tree", "lo", "n", "digest", F.struct("doc_id", "bad").alias("payload")), span)
 
-    subroots = checkpointed(trees.roots().select(F.lit(0).alias("all"), F.col("tree").alias("lang"), F.col("root").alias("digest")))
-    ranked = numbered(subroots, "all", ["lang"])
-    upper = Trees(ranked.select(F.col("all").alias("tree"), "lo", "n", "digest", F.struct("lang").alias("payload")), span)
+    # A row for each language: few files, unless languages are as many as rows.
+    subroots = trees.roots().select(F.lit(0).alias("all"), F.col("tree").alias("lang"), F.col("root").alias("digest"))
+    langs = subroots.count()
+    few = max(1, -(-langs // PART_ROWS))
+    ranked = numbered(checkpointed(subroots.coalesce(few)), "all", ["lang"], few)
+    upper = Trees(ranked.select(F.col("all").alias("tree"), "lo", "n", "digest", F.struct("lang").alias("payload")), span, few)
     top = upper.roots().select("tree", F.array().cast(f"array<{_STEP}>").alias("path"), "root")
     of_lang = checkpointed(upper.proofs(top).select(
         F.col("payload.lang").alias("tree"), F.col("proof").alias("path"), F.col("digest").alias("subroot"), "root"
-    ))
+    ).coalesce(few))
     found = trees.proofs(of_lang)
     return found.select(
         F.col("payload.doc_id").alias("doc_id"), F.col("tree").alias("lang"), F.col("lo").alias("rank"), F.col("digest").alias("leaf"), "subroot", "root", "proof",

@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from alertloom.functions.times import micros
 from alertloom import fixed_values as fixed
 from alertloom.functions import net
+from alertloom.functions.bind import let
 from alertloom.operators import series
+from alertloom.operators.ordered import part_of
 
+# Intervals of a network table that are sent to every task at most: 80 bytes each.
+MAP_INTERVALS = 65_536
 
 
 def client_address(forwarded_for: Column, real_ip: Column, peer: Column) -> Column:
@@ -49,19 +53,8 @@ def _numbered(rows: DataFrame, text: Column) -> DataFrame:
     return rows.withColumn("_family", family).where(F.col("_family").isNotNull())
 
 
-def _prefix() -> Column:
-    """Network key of ``_n`` or ``_hex``: ``family:length:leading bits``."""
-    length = F.col("_length")
-    four = F.call_function("shiftright", F.col("_n"), 32 - length).cast("string")
-    whole = F.floor(length / 4).cast("int")
-    digit = F.conv(F.substr("_hex", whole + 1, F.lit(1)), 16, 10).cast("int")
-    last = F.when(length % 4 > 0, F.call_function("shiftright", digit, 4 - length % 4).cast("string")).otherwise("")
-    six = F.concat_ws(".", F.substr("_hex", F.lit(1), whole), last)
-    return F.concat_ws(":", F.col("_family"), length, F.when(F.col("_family") == 4, four).otherwise(six))
-
-
-def _keys_of_networks(networks: DataFrame) -> DataFrame:
-    """``_family``, ``_length`` and ``_key`` of the readable networks, each once."""
+def _ranges_of_networks(networks: DataFrame) -> DataFrame:
+    """``_lo`` and ``_hi`` of the readable networks, each once: family and hex digits, ordered as texts."""
     parts = F.split("network", "/")
     rows = _numbered(networks.where(F.size(parts) <= 2).select(parts.alias("_parts")), F.col("_parts")[0])
     stated = F.try_element_at("_parts", F.lit(2))
@@ -78,30 +71,81 @@ def _keys_of_networks(networks: DataFrame) -> DataFrame:
         .when(F.col("_family") == 4, by_mask)
     )
     rows = rows.withColumn("_length", length.cast("int")).where(F.col("_length").between(0, longest))
-    return rows.select("_family", "_length", _prefix().alias("_key")).distinct()
+    # All digits up to the length as they are, the digit that it cuts by its bits, and the lowest or highest digits behind.
+    digits, whole, cut = _digits(), F.floor(F.col("_length") / 4).cast("int"), F.col("_length") % 4
+    digit = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    low_bits = F.call_function("shiftleft", F.lit(1), 4 - cut) - 1
+    first = digit.bitwiseAND(F.lit(15) - low_bits)
+
+    def end(last: Column, fill: str) -> Column:
+        middle = F.when(cut > 0, F.lower(F.hex(last.cast("bigint")))).otherwise("")
+        text = F.concat(F.substr(digits, F.lit(1), whole), middle)
+        return F.concat(F.col("_family").cast("string"), F.rpad(text, F.length(digits), F.lit(fill)))
+
+    return rows.select(end(first, "0").alias("_lo"), end(first.bitwiseOR(low_bits), "f").alias("_hi")).distinct()
+
+
+def _digits() -> Column:
+    """``_n`` or ``_hex`` as hex digits: 8 or 32."""
+    return F.when(F.col("_family") == 4, F.lpad(F.lower(F.hex("_n")), 8, "0")).otherwise(F.col("_hex"))
+
+
+def interval_map(networks: DataFrame) -> DataFrame:
+    """``_lo`` and ``_hi``: disjoint intervals that hold the addresses of all readable networks.
+
+    A sweep along the starts, wide networks first, drops every network that ends within one
+    before it.  It runs in parts of equal depth; the furthest end of a part is handed to the
+    parts behind it.
+    """
+    ranges = _ranges_of_networks(networks)
+    rows = ranges.withColumn("_part", part_of(ranges, [F.col("_lo")]))
+    ahead = Window.partitionBy("_part").orderBy("_lo", F.desc("_hi")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_reach", F.max("_hi").over(ahead))
+    ends = rows.groupBy("_part").agg(F.max("_hi").alias("_end"))
+    # A row for each part, 4,096 at most.
+    before = F.max("_end").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.select("_part", before.alias("_before"))
+    inside = F.coalesce(F.greatest("_reach", "_before") >= F.col("_hi"), F.lit(False))
+    return rows.join(F.broadcast(carried), "_part").where(~inside).select("_lo", "_hi")
 
 
 def allowed_by_table(requests: DataFrame, networks: DataFrame, address: str) -> DataFrame:
-    """Mark requests whose address lies in a network of a large table: ``allowed``.
+    """Mark requests whose address lies in a network of a table: ``allowed``.
 
     ``networks``: ``network`` as an IPv4 or IPv6 address with or without a prefix
-    length, or an IPv4 one with a mask.  The distinct addresses are expanded to one
-    key per prefix length that occurs (162 at most) and matched by equality, so
-    neither a range comparison of all pairs nor a broadcast of unknown size is
-    needed.  An unreadable network matches no one, as at the end of the list form;
-    an empty table allows no one.
+    length, or an IPv4 one with a mask.  They are flattened into disjoint intervals.  Up to
+    ``MAP_INTERVALS`` of them are sent to the tasks as sorted arrays and found by binary
+    search, without a shuffle of requests; more are met along the order of addresses, in
+    parts of equal depth, where each address looks back to the last start.  An unreadable
+    network matches no one, as at the end of the list form; an empty table allows no one.
     """
-    keys = _keys_of_networks(networks)
-    lengths = keys.select("_family", "_length").distinct()
-    addresses = _numbered(requests.select(F.col(address).alias("_address")).distinct(), F.col("_address"))
-    expanded = addresses.join(F.broadcast(lengths), "_family").select("_address", _prefix().alias("_key"))
-    matched = expanded.join(keys.select("_key"), "_key", "left_semi").select("_address").distinct()
-    marked = matched.select("_address", F.lit(True).alias("allowed"))
-    return (
-        requests.join(marked, F.col(address) == F.col("_address"), "left")
-        .drop("_address")
-        .withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    intervals = interval_map(networks)
+    few = intervals.limit(MAP_INTERVALS + 1).collect()
+    number, six = net.ipv4_number(F.col(address)), net.ipv6_hex(F.col(address))
+    four = F.concat(F.lit("4"), F.lpad(F.lower(F.hex(number)), 8, "0"))
+    key = F.when(F.contains(F.col(address), F.lit(":")), F.concat(F.lit("6"), six)).otherwise(four)
+    if len(few) <= MAP_INTERVALS:
+        return requests.withColumn("allowed", F.coalesce(let(key, lambda k: _in_map(sorted(map(tuple, few)), k)), F.lit(False)))
+    asked = requests.select(F.col(address).alias("_address"), key.alias("_at")).where(F.col("_at").isNotNull()).distinct()
+    sides = asked.withColumn("_side", F.lit(1)).unionByName(
+        intervals.select(F.col("_lo").alias("_at"), "_hi", F.lit(0).alias("_side")), allowMissingColumns=True
     )
+    met = series.carry_forward(sides, [], ["_at", "_side"], F.col("_hi"), "_end")
+    found = met.where((F.col("_side") == 1) & (F.col("_at") <= F.col("_end"))).select("_address", F.lit(True).alias("allowed"))
+    marked = requests.join(found, F.col(address) == F.col("_address"), "left").drop("_address")
+    return marked.withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+
+
+def _in_map(intervals: list[tuple[str, str]], key: Column) -> Column:
+    """Whether ``key`` lies in one of the sorted, disjoint ``intervals``."""
+    if not intervals:
+        return F.lit(False)
+    # One text per side, which Spark turns into an array when it plans.
+    los, his = (F.split(F.lit(",".join(side)), ",") for side in zip(*intervals))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(intervals).bit_length()))])
+    # How many starts are not behind the key.
+    count = F.aggregate(steps, F.lit(0), lambda at, by: F.when(F.get(los, at + by - 1) <= key, at + by).otherwise(at))
+    return F.get(his, count - 1) >= key
 
 
 # --- rate limit --------------------------------------------------------------

@@ -102,3 +102,39 @@ def test_number_text_is_the_shortest(spark):
     got = [r[0] for r in df.select(exposition.number_text(F.col("v"))).collect()]
     assert [g for g, v in zip(got, values) if float(g) != v or len(g) != len(repr(v))] == []
     assert got[:17] == [repr(v) for v in values[:17]]
+
+
+def test_interval_map_is_the_list_of_networks(spark, monkeypatch):
+    """100,000 networks, nested and repeated, as disjoint intervals: by broadcast arrays and by the merge along addresses."""
+    rng = random.Random(4)
+    texts = [f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}/{rng.choices([20, 24, 28, 29, 30, 31, 32], [1, 9, 200, 200, 200, 200, 200])[0]}" for _ in range(99_000)]
+    texts += [f"2001:db8:{rng.randrange(9)}:{rng.randrange(65536):x}::{rng.randrange(99):x}/{rng.choice([44, 61, 64, 66, 126, 127, 128])}" for _ in range(990)]
+    texts += ["192.168.0.0/255.255.0.0", "172.16.5.5/0.0.0.255", "0.0.0.1", "::/127", "ffff::/17", "no", "10.0.0.0/40", "1.2.3.4/5/6", None, ""]
+    readable = [ipaddress.ip_network(t, strict=False) for t in texts if t and t not in ("no", "10.0.0.0/40", "1.2.3.4/5/6")]
+    asked = [f"10.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}" for _ in range(1500)]
+    asked += [f"2001:db8:{rng.randrange(10)}:{rng.randrange(65536):x}::{rng.randrange(3)}" for _ in range(200)]
+    for n in rng.sample(readable, 200):
+        asked += [str(a) for a in (n.network_address, n.broadcast_address, n.network_address - 1 if int(n.network_address) else n.network_address, n.broadcast_address + 1)]
+    asked += ["::", "::2", "ffff:7fff:ffff::", "ffff:8000::", "0.0.0.1", "x", "", None, "255.255.255.255"]
+
+    heads: dict[tuple, set[int]] = {}
+    for n in readable:
+        heads.setdefault((n.version, n.prefixlen, n.max_prefixlen), set()).add(int(n.network_address) >> (n.max_prefixlen - n.prefixlen))
+
+    def inside(text):
+        try:
+            a = ipaddress.ip_address(text)
+        except ValueError:
+            return False
+        return any(v == a.version and int(a) >> (most - length) in found for (v, length, most), found in heads.items())
+
+    networks = spark.createDataFrame([(t,) for t in texts], "network string").repartition(4)
+    frame = spark.createDataFrame([(a,) for a in asked], "a string")
+    spans = sorted((r._lo, r._hi) for r in requests.interval_map(networks).collect())
+    assert all(lo <= hi < next_lo for (lo, hi), (next_lo, _) in zip(spans, spans[1:])) and 20_000 < len(spans) < 99_000
+    for most in (1 << 20, 100):
+        monkeypatch.setattr(requests, "MAP_INTERVALS", most)
+        found = requests.allowed_by_table(frame, networks, "a")
+        assert all(r.allowed == inside(r.a) for r in found.collect())
+        assert found.count() == len(asked)
+    assert not requests.allowed_by_table(frame, networks.limit(0), "a").where("allowed").count()

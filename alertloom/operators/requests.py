@@ -97,7 +97,10 @@ def interval_map(networks: DataFrame) -> DataFrame:
     before it.  It runs in parts of equal depth; the furthest end of a part is handed to the
     parts behind it.
     """
-    ranges = _ranges_of_networks(networks)
+    return _swept(_ranges_of_networks(networks))
+
+
+def _swept(ranges: DataFrame) -> DataFrame:
     rows = ranges.withColumn("_part", part_of(ranges, [F.col("_lo")]))
     ahead = Window.partitionBy("_part").orderBy("_lo", F.desc("_hi")).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_reach", F.max("_hi").over(ahead))
@@ -113,22 +116,26 @@ def allowed_by_table(requests: DataFrame, networks: DataFrame, address: str) ->
     """Mark requests whose address lies in a network of a table: ``allowed``.
 
     ``networks``: ``network`` as an IPv4 or IPv6 address with or without a prefix
-    length, or an IPv4 one with a mask.  They are flattened into disjoint intervals.  Up to
-    ``MAP_INTERVALS`` of them are sent to the tasks as sorted arrays and found by binary
-    search, without a shuffle of requests; more are met along the order of addresses, in
-    parts of equal depth, where each address looks back to the last start.  An unreadable
+    length, or an IPv4 one with a mask.  They are flattened into disjoint intervals.  Those of
+    up to ``MAP_INTERVALS`` networks go to the tasks as sorted arrays and are found by binary
+    search, without a shuffle of requests; those of more are met along the order of addresses,
+    in parts of equal depth, where each address looks back to the last start.  An unreadable
     network matches no one, as at the end of the list form; an empty table allows no one.
     """
-    intervals = interval_map(networks)
-    few = intervals.limit(MAP_INTERVALS + 1).collect()
+    ranges = _ranges_of_networks(networks)
+    few = ranges.limit(MAP_INTERVALS + 1).collect()
     number, six = net.ipv4_number(F.col(address)), net.ipv6_hex(F.col(address))
     four = F.concat(F.lit("4"), F.lpad(F.lower(F.hex(number)), 8, "0"))
     key = F.when(F.contains(F.col(address), F.lit(":")), F.concat(F.lit("6"), six)).otherwise(four)
     if len(few) <= MAP_INTERVALS:
-        return requests.withColumn("allowed", F.coalesce(let(key, lambda k: _in_map(sorted(map(tuple, few)), k)), F.lit(False)))
+        spans: list[tuple[str, str]] = []
+        for lo, hi in sorted(map(tuple, few), key=lambda r: (r[0], -int(r[1], 16))):
+            if not spans or hi > spans[-1][1]:
+                spans.append((lo, hi))
+        return requests.withColumn("allowed", F.coalesce(let(key, lambda k: _in_map(spans, k)), F.lit(False)))
     asked = requests.select(F.col(address).alias("_address"), key.alias("_at")).where(F.col("_at").isNotNull()).distinct()
     sides = asked.withColumn("_side", F.lit(1)).unionByName(
-        intervals.select(F.col("_lo").alias("_at"), "_hi", F.lit(0).alias("_side")), allowMissingColumns=True
+        _swept(ranges).select(F.col("_lo").alias("_at"), "_hi", F.lit(0).alias("_side")), allowMissingColumns=True
     )
     met = series.carry_forward(sides, [], ["_at", "_side"], F.col("_hi"), "_end")
     found = met.where((F.col("_side") == 1) & (F.col("_at") <= F.col("_end"))).select("_address", F.lit(True).alias("allowed"))

@@ -333,9 +333,13 @@ def components(edges: DataFrame) -> DataFrame:
     """member, root: for each end of an edge the smallest member of its component (roots not listed)."""
 
     def minimum(rows: DataFrame) -> DataFrame:
-        """Rows (hub, other) with ``low``, the smallest of the hub and all its others."""
+        """Rows (hub, other) with ``low``, the smallest of the hub and all its others.
+
+        The smallest ones are written out, so that both sides of the join are plain tables and the rows of
+        a hub with very many others can be split over tasks.
+        """
         least = rows.groupBy("hub").agg(F.min("other").alias("low"))
-        return rows.join(least.select("hub", F.least("hub", "low").alias("low")), "hub")
+        return rows.join(checkpointed(least.select("hub", F.least("hub", "low").alias("low"))), "hub")
 
     def large_star(pairs: DataFrame) -> DataFrame:
         both = pairs.select(F.col("src").alias("hub"), F.col("dst").alias("other")).unionByName(
@@ -383,8 +387,11 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     linked = members.join(codes, F.col("fp") == F.col("member")).select("fp", "root", "least_id")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = linked.join(least, "root").select("fp", F.col("root").alias("component"), "component_id")
-    of_code = codes.join(named, "fp", "left").select(
-        "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least_id").alias("component_id")
+    # Written out, so that a fingerprint that very many rows have meets a plain table and its rows can be split over tasks.
+    of_code = checkpointed(
+        codes.join(named, "fp", "left").select(
+            "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least_id").alias("component_id")
+        )
     )
     fingerprint_hex = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return rows.join(of_code, "fp").select("doc_id", fingerprint_hex, "component_id", "component", "text_sha256")
@@ -403,4 +410,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         .groupBy("component", identity.alias("id"), F.col("text_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("copies"))
     )
     stays = firsts.groupBy("component").agg(F.min("sha").alias("sha"))
-    return keep_rows(docs, {"id": identity, "sha": text_sha256()}, firsts.join(stays, ["component", "sha"]))
+    return keep_rows(docs, {"id": identity, "sha": text_sha256()}, checkpointed(firsts.join(stays, ["component", "sha"])))

@@ -21,6 +21,7 @@ class AlertJob:
     own_network: str | None = None
     prefix: str = fixed.ALERT_PREFIX
     integration: str = fixed.ACK_INTEGRATION
+    handlers: tuple[dispatch.Handler, ...] = ()
 
 
 def parse(lines: DataFrame, job: AlertJob) -> DataFrame:
@@ -29,7 +30,7 @@ def parse(lines: DataFrame, job: AlertJob) -> DataFrame:
 
 def outcomes(lines: DataFrame, job: AlertJob, keep: list[str] | None = None) -> DataFrame:
     """Messages, rejections and quarantined lines with their origin."""
-    return dispatch.outcomes(parse(lines, job), job.own_network, keep)
+    return dispatch.outcomes(parse(lines, job), job.own_network, keep, job.handlers)
 
 
 def _record(stream: str, value: Column, reason: Column | None = None, raw: Column | None = None) -> Column:
@@ -48,7 +49,7 @@ def records(lines: DataFrame, job: AlertJob, keep: list[str] | None = None) -> D
     and sinks read the stream they want from the written table.
     """
     keep = keep or []
-    rows = dispatch.outcomes(parse(lines, job), job.own_network, [*keep, "line", "text"])
+    rows = dispatch.outcomes(parse(lines, job), job.own_network, [*keep, "line", "text"], job.handlers)
     o, sent = F.col("origin"), F.col("drop_reason").isNull()
     in_quarantine = F.col("branch") == dispatch.QUARANTINE
     acked = sent & (o["agent_kind"].isNull() | F.startswith(o["agent_kind"], F.lit("OBJECT")))

@@ -6,9 +6,11 @@ import json
 import xml.etree.ElementTree as ET
 
 import pytest
+from pyspark.sql import functions as F
 
 from alertloom.fixed_values import EVENT_PARSER
 from alertloom.operators import delivery, dispatch, ingest
+from alertloom.plans import alert_plan
 from tests.fixtures import fail2ban, windows
 
 
@@ -200,3 +202,55 @@ def test_kafka_options():
     options = delivery.kafka_options("b:9092", "customer", overrides={"acks": "all", "linger.ms": 9}, keystore="/k")
     assert options["kafka.acks"] == "all" and options["kafka.linger.ms"] == "5" and options["topic"] == "customer"
     assert options["kafka.security.protocol"] == "SSL" and options["kafka.compression.type"] == "gzip"
+
+
+# Further handlers
+
+
+def _audit_fields(alert):
+    user = F.try_variant_get(alert, "$.data.user", "string")
+    return F.struct(
+        F.lit("audit").alias("event_format"), F.concat(F.lit("login "), user).alias("raw"), user.alias("body"), F.lit(7).alias("severity"),
+        F.when(user == "root", "not sent").alias("drop_reason"),
+    )
+
+
+def _fragile(text):
+    alert = json.loads(text)
+    return {"event_format": "fragile", "raw": alert["data"]["user"], "priority": 100 // alert["data"]["n"]} if "n" in alert["data"] else None
+
+
+def test_further_handlers_share_the_pass(spark, tmp_path):
+    kind = lambda alert, name: F.coalesce(F.try_variant_get(alert, "$.kind", "string") == name, F.lit(False))
+    handlers = (
+        dispatch.Handler("audit", lambda a: kind(a, "login") | kind(a, "both"), _audit_fields),
+        dispatch.Handler("fragile", lambda a: kind(a, "odd") | kind(a, "both"), dispatch.by_python(_fragile)),
+    )
+    alerts = [
+        fail2ban(2), {"id": "1", "kind": "login", "data": {"user": "ann"}}, {"id": "2", "kind": "login", "data": {"user": "root"}},
+        {"id": "3", "kind": "odd", "data": {"user": "x", "n": 0}}, {"id": "4", "kind": "odd", "data": {"user": "y", "n": 5}},
+        {"id": "5", "kind": "odd", "data": {}}, {"id": "6", "kind": "odd"}, {"id": "7", "kind": "both", "data": {"user": "z", "n": 4}}, {"id": "8"},
+    ]
+    (tmp_path / "lines").write_text("\n".join(map(json.dumps, alerts)))
+    lines = spark.read.text(str(tmp_path / "lines")).withColumnRenamed("value", "line")
+    rows = dispatch.outcomes(ingest.accepted(ingest.parse_lines(lines, "{")), handlers=handlers)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    found = {(r.origin.alert_id, r.branch): r for r in rows.collect()}
+    assert len(found) == 9
+    sent = {k: (r.message.event_format, r.message.event_raw, r.message.severity, r.message.priority) for k, r in found.items() if r.drop_reason is None}
+    assert sent.pop(("55.2" if ("55.2", "fail2ban") in sent else next(i for i, b in sent if b == "fail2ban"), "fail2ban"))[0] == "syslog5424-json"
+    assert sent == {
+        ("1", "audit"): ("audit", "login ann", 7, None), ("7", "audit"): ("audit", "login z", 7, None),
+        ("4", "fragile"): ("fragile", "y", None, 20), ("7", "fragile"): ("fragile", "z", None, 25),
+    }
+    reasons = {k: r.drop_reason for k, r in found.items() if r.drop_reason is not None}
+    assert reasons.pop(("3", "fragile")).startswith("ZeroDivisionError") and reasons.pop(("6", "fragile")).startswith("KeyError")
+    assert reasons == {("2", "audit"): "not sent", ("5", "fragile"): "not handled"}
+    streams = alert_plan.records(lines, alert_plan.AlertJob("t", prefix="{", handlers=handlers))
+    assert streams.where("stream = 'message'").count() == 5 and streams.where("stream = 'rejected'").count() == 4
+
+
+def test_handlers_need_names_of_their_own(spark):
+    twice = dispatch.Handler("windows", lambda a: F.lit(True), _audit_fields)
+    with pytest.raises(ValueError, match="names of their own"):
+        dispatch.branches(spark.createDataFrame([], "line string"), (twice,))

@@ -69,39 +69,59 @@ def recent_average(processed: DataFrame, keys: list[str], last: int = 100) -> Da
     )
 
 
-def sink_intervals(
-    operations: DataFrame, keys: list[str], interval: str = INTERVAL, interval_seconds: float = INTERVAL_SECONDS,
-    slow: float = 1.0,
-) -> DataFrame:
-    """Per interval: operations, slow ones, the maximum with its stage times, rates.
+def sink_partials(operations: DataFrame, keys: list[str], interval: str = INTERVAL, slow: float = 1.0) -> DataFrame:
+    """Mergeable sums of ``sink_intervals``: per key and interval what several parts of its rows can be put together from.
 
-    Input: keys, ``ts``, ``seq``, ``elapsed_us``, ``stages`` MAP<STRING, BIGINT>.
-    Among equal maxima the first one's stages are kept.  ``slow_max_us`` is the
-    maximum over slow operations, which the cumulative form needs.
+    ``first_longest`` orders the maxima: longest, then earliest, then smallest ``seq``.
     """
     us = F.col("elapsed_us")
     is_slow = us > slow * SECOND
-    first_longest = F.struct(us, -micros("ts"), -F.col("seq"))
+    first_longest = F.struct(us.alias("us"), (-micros("ts")).alias("before"), (-F.col("seq")).alias("sooner"))
     rows = operations.groupBy(*keys, F.window("ts", interval).alias("span")).agg(
         F.count(F.lit(1)).alias("operations"),
         F.count_if(is_slow).alias("slow_operations"),
         F.max(us).alias("max_us"),
         F.max_by("stages", first_longest).alias("max_stages"),
         F.max(F.when(is_slow, us)).alias("slow_max_us"),
+        F.max(first_longest).alias("first_longest"),
     )
-    return rows.select(
-        *keys,
-        F.col("span.start").alias("interval_start"),
-        "operations",
-        "slow_operations",
-        "max_us",
-        "max_stages",
-        "slow_max_us",
+    return rows.select(*keys, F.col("span.start").alias("interval_start"), *rows.columns[len(keys) + 1 :])
+
+
+def merged_partials(partials: DataFrame, keys: list[str]) -> DataFrame:
+    """Partials of the same key and interval put together; partials again."""
+    return partials.groupBy(*keys, "interval_start").agg(
+        F.sum("operations").alias("operations"),
+        F.sum("slow_operations").alias("slow_operations"),
+        F.max("max_us").alias("max_us"),
+        F.max_by("max_stages", "first_longest").alias("max_stages"),
+        F.max("slow_max_us").alias("slow_max_us"),
+        F.max("first_longest").alias("first_longest"),
+    )
+
+
+def finished_partials(partials: DataFrame, interval_seconds: float = INTERVAL_SECONDS) -> DataFrame:
+    """The interval table of merged partials."""
+    return partials.drop("first_longest").select(
+        "*",
         (F.col("operations") / F.lit(interval_seconds)).alias("ops_per_sec"),
         (F.col("slow_operations") / F.col("operations") * 100).alias("slow_pct"),
     )
 
 
+def sink_intervals(
+    operations: DataFrame, keys: list[str], interval: str = INTERVAL, interval_seconds: float = INTERVAL_SECONDS,
+    slow: float = 1.0,
+) -> DataFrame:
+    """Per interval: operations, slow ones, the maximum with its stage times, rates.
+
+    Input: keys, ``ts``, ``seq``, ``elapsed_us``, ``stages`` MAP<STRING, BIGINT>.
+    Among equal maxima the first one's stages are kept.  ``slow_max_us`` is the
+    maximum over slow operations, which the cumulative form needs.
+    """
+    return finished_partials(sink_partials(operations, keys, interval, slow), interval_seconds)
+
+
 def _up_to_now(keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy("interval_start").rowsBetween(Window.unboundedPreceding, 0)
 

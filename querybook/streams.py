@@ -11,8 +11,8 @@ from alertloom.operators import telemetry as batch_telemetry
 from alertloom.plans.alert_plan import AlertJob
 from alertloom.session import checkpoint_folder
 from alertloom.streaming import alert_stream as alerts
+from alertloom.streaming import correctable
 from alertloom.streaming import rate_limit_stream as limits
-from alertloom.streaming import telemetry_stream as telemetry
 from querybook import inputs
 from querybook.telemetry import HALF_DAY, LIMIT, WINDOW
 
@@ -36,12 +36,12 @@ def alert_stream(spark, sf):
 
 
 def interval_stream(spark, sf):
-    home = _home(spark, "interval_stream")
-    rows = telemetry.sink_intervals(inputs.operations_of(inputs.event_stream(spark, sf)), ["topic"], **HALF_DAY)
-    telemetry.store(rows, f"{home.rsplit('/', 1)[1]}", f"{home}/table", once=True, base=home).awaitTermination()
-    raw = inputs.operations(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    every = batch_telemetry.sink_intervals(raw, ["topic"], **HALF_DAY)
-    found = telemetry.completed(spark.read.parquet(f"{home}/table"), every, ["topic"])
+    """Read from the stream's own table alone, whatever the order of the files."""
+    home, keys = _home(spark, "interval_stream"), ["topic"]
+    partials = lambda rows: batch_telemetry.sink_partials(rows, keys, HALF_DAY["interval"])
+    rows = inputs.operations_of(inputs.event_stream(spark, sf))
+    correctable.store(rows, f"{home}/table", f"{home}/progress", partials, keys, once=True).awaitTermination()
+    found = correctable.sink_intervals(spark, f"{home}/table", keys, HALF_DAY["interval_seconds"])
     return found.select("topic", "interval_start", "operations", "slow_operations", "max_us")
 
 

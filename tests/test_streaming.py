@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import os
 import uuid
 from datetime import datetime, timedelta
@@ -16,7 +17,7 @@ from alertloom.plans.alert_plan import AlertJob
 from alertloom.sources import tail
 from alertloom.sources.alert_files import alert_lines
 from alertloom.sources.tail import alert_tail_stream
-from alertloom.streaming import alert_stream, rate_limit_stream, telemetry_stream
+from alertloom.streaming import alert_stream, correctable, rate_limit_stream, telemetry_stream
 from tests.fixtures import fail2ban, windows
 
 START = datetime(2024, 1, 1)
@@ -190,3 +191,58 @@ def test_open_and_stored_intervals_together_are_all(spark):
     stored = spark.createDataFrame([("a", 1, 5), (None, 1, 6)], schema)
     every = spark.createDataFrame([("a", 1, 5), (None, 1, 6), ("a", 2, 7), (None, 2, 8)], schema)
     assert sorted(telemetry_stream.completed(stored, every, ["k"]).collect(), key=str) == sorted(every.collect(), key=str)
+
+
+OPERATIONS = "topic string, ts timestamp, seq long, elapsed_us long, stages map<string,bigint>"
+
+
+def _operations(n):
+    rng = random.Random(6)
+    rows = [(rng.choice(["t", "u", None]), START + timedelta(seconds=37 * i), i, (i * 7919) % 3_000_000 // 500_000 * 500_000, {"send": i}) for i in range(n)]
+    rng.shuffle(rows)
+    return rows
+
+
+def _partials(rows):
+    return telemetry.sink_partials(rows, ["topic"])
+
+
+def _merged(partials):
+    return telemetry.merged_partials(partials, ["topic"])
+
+
+def _plain(intervals):
+    return sorted(map(str, intervals.collect()))
+
+
+def test_late_rows_correct_their_intervals(spark, tmp_path):
+    """Shuffled files, hours apart: every interval is that of all rows, also after a replay and after compactions."""
+    rows = _operations(4900)
+    source, table = str(tmp_path / "in"), str(tmp_path / "table")
+    for k in range(7):
+        spark.createDataFrame(rows[700 * k : 700 * k + 700], OPERATIONS).coalesce(1).write.mode("append").parquet(source)
+    want = telemetry.sink_intervals(spark.createDataFrame(rows, OPERATIONS), ["topic"])
+    assert want.count() > 300
+    stream = spark.readStream.schema(OPERATIONS).option("maxFilesPerTrigger", 1).parquet(source)
+    correctable.store(stream, table, str(tmp_path / "progress"), _partials, ["topic"], once=True).awaitTermination()
+    assert _plain(correctable.sink_intervals(spark, table, ["topic"])) == _plain(want)
+    # The last batch runs again, as after a crash.
+    again = spark.createDataFrame(rows[:700], OPERATIONS)
+    correctable.adder(table, _partials, ["topic"])(again, 9)
+    correctable.adder(table, _partials, ["topic"])(again.limit(0), 9)
+    assert _plain(correctable.sink_intervals(spark, table, ["topic"])) == _plain(want)
+    assert [correctable.compact(spark, table, _merged, keep) for keep in (5, 5, 2, 0)] == [2, 2, 5, 9]
+    assert _plain(correctable.sink_intervals(spark, table, ["topic"])) == _plain(want)
+    assert correctable.late_rows(spark, table).count() == 0
+    assert correctable._folders(spark, f"{table}/compacted", "upto") == [5, 9]
+
+
+def test_rows_after_the_retention_are_counted(spark, tmp_path):
+    table = str(tmp_path / "table")
+    add = correctable.adder(table, _partials, ["topic"], "2 hours")
+    at = lambda hours, seq: ("t", None if hours is None else START + timedelta(hours=hours), seq, 5, {})
+    for number, hours in enumerate([[5, 1], [4, 3, 2.9, None], [2, 9]]):
+        add(spark.createDataFrame([at(h, 10 * number + k) for k, h in enumerate(hours)], OPERATIONS), number)
+    late = correctable.late_rows(spark, table).collect()
+    assert sorted((r.ts is None, r.ts and (r.ts - START).total_seconds() / 3600, r.rows) for r in late) == [(False, 2.0, 1), (False, 2.9, 1), (True, None, 1)]
+    assert correctable.sink_intervals(spark, table, ["topic"]).agg(F.sum("operations")).head()[0] == 5

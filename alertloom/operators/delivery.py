@@ -155,45 +155,3 @@ def error_rows(
 def incident_rows(messages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Error rows for messages that went out incomplete."""
     return error_rows(messages, F.col("incident"), keep)
-
-
-ERROR_TEXTS = {
-    "broker_unavailable": "Kafka broker not available. Attempt {attempt}/{limit}. Retrying...",
-    "send_attempt": "Kafka error. Attempt {attempt}/{limit}. Reinitializing producer.",
-    "send_error": "Failed to send alert to Kafka: {detail}",
-    "windows_undelivered": "Failed to send Windows alert to Kafka {alert_id}",
-    "fail2ban_undelivered": "Failed to send fail2ban alert to Kafka {alert_id}",
-}
-
-
-def error_text(cause: str, **values: Column) -> Column:
-    """Description of a cause with column values in place of the names in braces."""
-    text = F.lit(ERROR_TEXTS[cause])
-    for name, value in values.items():
-        text = F.replace(text, F.lit("{" + name + "}"), value.cast("string"))
-    return text
-
-
-def failed_sends(
-    sends: DataFrame, failures: Column, limit: int = 5, keep: list[str] | None = None
-) -> DataFrame:
-    """Error rows of messages whose send failed ``failures`` times.
-
-    One row per failed try, and a last one for a message that used up all tries
-    and is dropped.  Input needs ``branch`` and ``origin``.
-    """
-    tried = F.least(failures, F.lit(limit)).cast("int")
-    attempts = F.transform(
-        F.when(tried > 0, F.sequence(F.lit(1), tried)).otherwise(F.array().cast("array<int>")),
-        lambda i: error_text("send_attempt", attempt=i, limit=F.lit(limit)),
-    )
-    lost = F.when(F.col("branch") == "windows", error_text("windows_undelivered", alert_id=F.col("origin.alert_id")))
-    lost = lost.otherwise(error_text("fail2ban_undelivered", alert_id=F.col("origin.alert_id")))
-    final = F.when(failures >= limit, F.array(lost)).otherwise(F.array().cast("array<string>"))
-    exploded = sends.select(*(keep or []), F.explode(F.concat(attempts, final)).alias("text"))
-    return error_rows(exploded, F.col("text"), keep)
-
-
-def delivered(sends: DataFrame, failures: Column, limit: int = 5) -> DataFrame:
-    """Messages that some try brought through."""
-    return sends.where(failures < limit)

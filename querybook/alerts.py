@@ -245,15 +245,6 @@ def kafka_records(spark, sf):
     return rows.select("event_id", "topic", F.get_json_object("value", "$.event_raw").alias("event_raw"))
 
 
-def send_failures(spark, sf):
-    failures = F.col("event_id") % 7
-    return delivery.failed_sends(_messages(spark, sf), failures, 5, KEYS).select("event_id", "error", "description")
-
-
-def delivered_messages(spark, sf):
-    return delivery.delivered(_messages(spark, sf), F.col("event_id") % 7).select("event_id", "branch")
-
-
 def acknowledgements(spark, sf):
     return delivery.acknowledgements(_messages(spark, sf), keep=KEYS).drop("line", "oversize")
 
@@ -282,6 +273,6 @@ QUERIES = [
     alert_relevance, global_addresses, own_network_filter, network_allowlist, network_allowlist_table, network_allowlist_mixed,
     windows_system_xml, event_data_xml, shutdown_user_data, log_cleared_user_data, xml_escaping, windows_messages,
     windows_rejections, syslog_severity, syslog_event_raw, syslog_messages, message_dispatch, client_address,
-    message_values, kafka_records, send_failures, delivered_messages, acknowledgements, ack_lines, oversize_acks,
+    message_values, kafka_records, acknowledgements, ack_lines, oversize_acks,
     incident_errors, outgoing_records,
 ]

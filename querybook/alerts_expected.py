@@ -189,13 +189,6 @@ EXPECTED = {
     "kafka_records": _q(
         "SELECT e AS event_id, 'customer-1' AS topic, raw AS event_raw FROM wmsg UNION ALL SELECT e, 'customer-1', raw FROM smsg"
     ),
-    "send_failures": _q(
-        "SELECT e AS event_id, 503::INTEGER AS error, 'Kafka error. Attempt ' || i || '/5. Reinitializing producer.' AS description "
-        "FROM msgs, range(1, 6) r(i) WHERE i <= least(e % 7, 5) UNION ALL "
-        "SELECT e, 503, CASE branch WHEN 'windows' THEN 'Failed to send Windows alert to Kafka ' ELSE 'Failed to send fail2ban alert to Kafka ' END || aid "
-        "FROM msgs WHERE e % 7 >= 5"
-    ),
-    "delivered_messages": _q("SELECT e AS event_id, branch FROM msgs WHERE e % 7 < 5"),
     "acknowledgements": _q(
         "SELECT e AS event_id, 'dfn' AS integration, aid AS alert_id, agent AS agent_name, fmt AS event_format, wevent AS alert_event_id, "
         "wts AS win_timestamp, wz AS alert_timestamp FROM msgs"

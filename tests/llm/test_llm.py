@@ -246,6 +246,45 @@ def test_language_windows(monkeypatch):
     assert sum(one, []) == many
 
 
+def _grams(text):
+    """Hashed n-grams of a text, one by one."""
+    codes = list(map(ord, f" {text.lower()} "))
+    for n in language.GRAMS:
+        for k in range(len(codes) - n + 1):
+            h = n
+            for c in codes[k : k + n]:
+                h = (h ^ c) * 0x9E3779B1 & 0xFFFFFFFF
+                h ^= h >> 15
+            yield h % language.BUCKETS
+
+
+def test_language_is_naive_bayes(spark):
+    """Posteriors equal those of plain counting, over all rows that may be learned from, repeated rows included."""
+    rng = random.Random(12)
+    words = {"en": EN, "de": DE, "xx": ["aba", "bab", "ü"]}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 8))), lang, "s") for k in range(120) for lang in [rng.choice(list(words))]]
+    rows += [rows[4], rows[4], (500, None, "en", "s"), (501, "", "de", "s"), (502, "the 1", None, "s"), (None, "der die das", "de", "s")]
+    learned = [r for r in rows if r[2] is not None and r[0] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    langs = sorted({r[2] for r in learned})
+    counts = {lang: np.full(language.BUCKETS, language.SMOOTHING) for lang in langs}
+    for _, text, lang, _ in learned:
+        for gram in _grams(text or ""):
+            counts[lang][gram] += 1
+    prior = {lang: sum(r[2] == lang for r in learned) / len(learned) for lang in langs}
+    found = language.predicted(_docs(spark, rows).drop("score"), language.train(_docs(spark, rows)))
+    asked = ["the and", "ungen", "aba", "Über die hand", "z"]
+    more = language.predicted(_docs(spark, [(k, t, None, None) for k, t in enumerate(asked)]).drop("score"), language.train(_docs(spark, rows)))
+    for r in [*found.collect(), *more.collect()]:
+        if not re.search(r"[^\W\d_]", r["text"] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        logs = {lang: np.log(prior[lang]) + sum(np.log(counts[lang][g] / counts[lang].sum()) for g in _grams(r["text"])) for lang in langs}
+        top = max(logs.values())
+        best = min(lang for lang in langs if logs[lang] == top)
+        assert r["lang_pred"] == best
+        assert r["score"] == pytest.approx(1 / sum(np.exp(v - top) for v in logs.values()), abs=1e-4)
+
+
 def test_learns_nothing_from_held_out(spark):
     held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 == 2][:20]
     assert language.train(_docs(spark, [(k, "the and", "en", "s") for k in held])) is None

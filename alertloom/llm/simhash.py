@@ -338,8 +338,10 @@ def components(edges: DataFrame) -> DataFrame:
         The smallest ones are written out, so that both sides of the join are plain tables and the rows of
         a hub with very many others can be split over tasks.
         """
-        least = rows.groupBy("hub").agg(F.min("other").alias("low"))
-        return rows.join(checkpointed(least.select("hub", F.least("hub", "low").alias("low"))), "hub")
+        least = rows.groupBy("hub").agg(F.min("other").alias("low")).select("hub", F.least("hub", "low").alias("low"))
+        # Two numbers a row: an eighth of the shuffle's partitions, so that few small files are written.
+        few = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+        return rows.join(checkpointed(least.coalesce(few)), "hub")
 
     def large_star(pairs: DataFrame) -> DataFrame:
         both = pairs.select(F.col("src").alias("hub"), F.col("dst").alias("other")).unionByName(

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+import os
+import tempfile
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,6 +17,65 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 OUTPUT = "client string, request_id bigint, request_ts timestamp, accepted boolean, remaining bigint, reset_at timestamp"
 STATE = "accepted_us array<bigint>"
 
+# Rows of a client that are sorted in memory at once, rows read at once of each sorted run, rows of one output frame.
+RUN_ROWS = 1 << 19
+BLOCK_ROWS = 512
+OUT_ROWS = 10_000
+_ROW_BYTES = 4 * 8
+
+
+def _numbers(batch: pd.DataFrame) -> np.ndarray:
+    """Per row: whether it has no time, its time in microseconds, whether it has no id, its id."""
+    times, ids = batch["request_ts"], batch["request_id"]
+    us = times.astype("datetime64[us]").astype("int64")
+    return np.column_stack([times.isna(), us, ids.isna(), ids.fillna(0).astype("int64")])
+
+
+def _sorted(parts: list[np.ndarray]) -> np.ndarray:
+    rows = np.concatenate(parts)
+    return rows[np.lexsort(rows.T[::-1])]
+
+
+def _blocks(size: int, read) -> Iterator[list[int]]:
+    for start in range(0, size, BLOCK_ROWS):
+        yield from read(start, min(size, start + BLOCK_ROWS)).tolist()
+
+
+def _in_time_order(batches: Iterator[pd.DataFrame]) -> Iterator[list[int]]:
+    """The ``_numbers`` of all batches by time and id, those without one last.
+
+    Memory does not grow with a client's rows: beyond ``RUN_ROWS`` sorted runs go to a
+    temporary file, which has no name, and are merged from there.
+    """
+    held, count, file, runs = [], 0, None, []
+
+    def stored(first: int):
+        def read(start: int, end: int) -> np.ndarray:
+            data = os.pread(file.fileno(), (end - start) * _ROW_BYTES, (first + start) * _ROW_BYTES)
+            return np.frombuffer(data, dtype=np.int64).reshape(-1, 4)
+
+        return read
+
+    try:
+        for batch in batches:
+            held.append(_numbers(batch))
+            count += len(batch)
+            if count >= RUN_ROWS:
+                # A folder that Spark gives its executors for such files, where there is one.
+                file = file or tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+                runs.append(_blocks(count, stored(file.tell() // _ROW_BYTES)))
+                file.write(_sorted(held).data)
+                held, count = [], 0
+        if file:
+            file.flush()
+        if held:
+            rest, held = _sorted(held), []
+            runs.append(_blocks(len(rest), lambda start, end: rest[start:end]))
+        yield from runs[0] if len(runs) == 1 else heapq.merge(*runs)
+    finally:
+        if file:
+            file.close()
+
 
 def rate_limit(requests: DataFrame, limit: int, window_seconds: int) -> DataFrame:
     """Decide requests in arrival order of the batches, in time order within one.
@@ -20,32 +84,35 @@ def rate_limit(requests: DataFrame, limit: int, window_seconds: int) -> DataFram
     its accepted times within the window, at most ``limit`` of them, in order.  A
     request that is older than accepted ones of batches before (a late file) is
     decided like one that comes now: later accepted times count against it too.
+    Rows of a client are sorted and decided in bounded memory, however many a batch has.
     """
     window_us = window_seconds * 1_000_000
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["request_ts", "request_id"])
-        accepted, remaining, reset = [], [], []
-        for now in rows["request_ts"].astype("datetime64[us]").astype("int64"):
-            del times[: bisect_right(times, now - window_us)]
-            ok = len(times) < limit
-            if ok:
-                insort(times, int(now))
-            accepted.append(ok)
-            remaining.append(max(0, limit - len(times)))
-            reset.append(times[0] + window_us if times else int(now))
+        rows = _in_time_order(batches)
+        while block := list(islice(rows, OUT_ROWS)):
+            accepted, remaining, reset = [], [], []
+            for _, now, _, _ in block:
+                del times[: bisect_right(times, now - window_us)]
+                ok = len(times) < limit
+                if ok:
+                    insort(times, now)
+                accepted.append(ok)
+                remaining.append(max(0, limit - len(times)))
+                reset.append(times[0] + window_us if times else now)
+            _, us, no_id, ids = np.array(block).T
+            yield pd.DataFrame(
+                {
+                    "client": key[0],
+                    "request_id": pd.arrays.IntegerArray(ids.copy(), no_id.astype(bool)),
+                    "request_ts": us.astype("datetime64[us]"),
+                    "accepted": accepted,
+                    "remaining": remaining,
+                    "reset_at": pd.to_datetime(pd.Series(reset, dtype="int64"), unit="us").to_numpy(),
+                }
+            )
         state.update((times,))
-        yield pd.DataFrame(
-            {
-                "client": key[0],
-                "request_id": rows["request_id"].to_numpy(),
-                "request_ts": rows["request_ts"].to_numpy(),
-                "accepted": accepted,
-                "remaining": remaining,
-                "reset_at": pd.to_datetime(pd.Series(reset, dtype="int64"), unit="us").to_numpy(),
-            }
-        )
 
     return requests.groupBy("client").applyInPandasWithState(
         decide, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout

@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import random
 import os
+import tracemalloc
 import uuid
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +116,65 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     assert sorted(got) == sorted(requests.rate_limit(df, 2, 60).select(columns).collect())
 
 
+class _Captured:
+    """Takes the place of a request stream and of a client's state, so that the decisions run here."""
+
+    exists, value = False, None
+
+    def groupBy(self, _):
+        return self
+
+    def applyInPandasWithState(self, decide, *_):
+        return decide
+
+    def update(self, value):
+        self.value = value
+
+
+def test_rate_limit_stream_memory_does_not_grow_with_a_client(monkeypatch):
+    """Ten thousand rows a batch, shuffled: sorted runs are merged, and frames come out by and by."""
+    monkeypatch.setattr(rate_limit_stream, "RUN_ROWS", 30_000, raising=False)
+    decide = rate_limit_stream.rate_limit(_Captured(), 3, 60)
+
+    def batches(n):
+        for k in range(n):
+            at = (np.arange(10_000) * n + k) * 7919 % (10_000 * n)
+            yield pd.DataFrame({"client": "hot", "request_id": -at, "request_ts": pd.to_datetime(at // 3 * 5, unit="s")})
+
+    def run(n, taken):
+        state = _Captured()
+        for frame in decide(("hot",), batches(n), state):
+            taken(frame)
+        return state
+
+    frames = []
+    run(8, frames.append)
+    got, times = pd.concat(frames), []
+    assert got["request_id"].tolist() == [-(k // 3 * 3 + 2 - k % 3) for k in range(79_998)] + [-79_999, -79_998]
+    for now, ok, left, reset in zip(got["request_ts"], got["accepted"], got["remaining"], got["reset_at"]):
+        times = [t for t in times if t > now - timedelta(seconds=60)]
+        assert ok == (len(times) < 3)
+        times += [now] if ok else []
+        assert (left, reset) == (3 - len(times), times[0] + timedelta(seconds=60))
+    assert got["accepted"].sum() == -(-26_667 // 12) * 3
+    peaks = []
+    for n in (8, 32):
+        tracemalloc.start()
+        run(n, lambda _: None)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.3 * peaks[0] + 2_000_000
+
+
+def test_rate_limit_stream_orders_rows_without_a_time_or_id_last(monkeypatch):
+    times = [pd.Timestamp(2024, 1, 1, 0, 0, s) for s in (3, 1, 3, 2)] + [pd.NaT]
+    frame = pd.DataFrame({"request_ts": times, "request_id": [None, 2**53 - 1, 4, 5, 6]})
+    for rows in (1, 2, 100):
+        monkeypatch.setattr(rate_limit_stream, "RUN_ROWS", rows)
+        got = rate_limit_stream._in_time_order(frame[k : k + 1] for k in range(5))
+        assert [(n, i) for _, _, n, i in got] == [(0, 2**53 - 1), (0, 5), (0, 4), (1, 0), (0, 6)]
+
+
 def test_tail_follows_growth_and_rotation(spark, tmp_path):
     path = tmp_path / "alerts.json"
     path.write_bytes(b'{"id":0}\n')

@@ -16,15 +16,22 @@ from alertloom.functions import json_text
 from alertloom.session import configure
 
 
+# Rows of one task at most, on average.  Some operators sort the rows of a task, which takes memory for all of them.
+TASK_ROWS = 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table, spread over the cores if it has fewer files than there are cores.
 
     Small tables are one file each and would be worked on by a single task; a
-    large table is read as it is stored.
+    large table is spread over as many tasks as ``TASK_ROWS`` asks for, or read
+    as it is stored if that makes as many.
     """
     rows = configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    wanted = -(-rows.count() // TASK_ROWS)
+    few = len(rows.inputFiles()) < cores or cores < wanted and rows.rdd.getNumPartitions() < wanted
+    return rows.repartition(max(cores, wanted)) if few else rows
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,6 +134,7 @@ class _Captured:
 def test_rate_limit_stream_memory_does_not_grow_with_a_client(monkeypatch):
     """Ten thousand rows a batch, shuffled: sorted runs are merged, and frames come out by and by."""
     monkeypatch.setattr(rate_limit_stream, "RUN_ROWS", 30_000, raising=False)
+    monkeypatch.setattr(rate_limit_stream, "BLOCK_ROWS", 1000, raising=False)
     decide = rate_limit_stream.rate_limit(_Captured(), 3, 60)
 
     def batches(n):
@@ -166,13 +167,12 @@ def test_rate_limit_stream_memory_does_not_grow_with_a_client(monkeypatch):
     assert peaks[1] < 1.3 * peaks[0] + 2_000_000
 
 
-def test_rate_limit_stream_orders_rows_without_a_time_or_id_last(monkeypatch):
+def test_rate_limit_stream_orders_rows_without_a_time_or_id_last():
     times = [pd.Timestamp(2024, 1, 1, 0, 0, s) for s in (3, 1, 3, 2)] + [pd.NaT]
     frame = pd.DataFrame({"request_ts": times, "request_id": [None, 2**53 - 1, 4, 5, 6]})
     for rows in (1, 2, 100):
-        monkeypatch.setattr(rate_limit_stream, "RUN_ROWS", rows)
-        got = rate_limit_stream._in_time_order(frame[k : k + 1] for k in range(5))
-        assert [(n, i) for _, _, n, i in got] == [(0, 2**53 - 1), (0, 5), (0, 4), (1, 0), (0, 6)]
+        got = rate_limit_stream._time_order(rows, 2)(frame[k : k + 1] for k in range(5))
+        assert [(n, i) for block in got for _, _, n, i in block.tolist()] == [(0, 2**53 - 1), (0, 5), (0, 4), (1, 0), (0, 6)]
 
 
 def test_tail_follows_growth_and_rotation(spark, tmp_path):
